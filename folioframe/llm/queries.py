@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +18,31 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), width=4, similarity=0.85)
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import secret_scan as S
+    from ._session import pinned
+
+    found, _ = S.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep=pinned)
+    base = S.of_kinds(F.col("findings"), "assign", "access", "hex")
+    n = lambda kind: F.size(S.of_kinds(F.col("findings"), kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", n("assign"), n("access"), n("hex"), F.sha2(S.rendered(base), 256).alias("base_sha256"), S.rendered(F.col("findings")).alias("spans"), "blob"
+    )
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import byte_bpe as B
+
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = B.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern).drop("text")
+    decoded = B.decode(encoded, path, pattern)
+    return decoded.select("doc_id", B.n_tokens().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_jaccard_join": op1_ngram_jaccard_join}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op3_secret_scan, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
