@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,3 +22,11 @@ def pinned(df: DataFrame) -> DataFrame:
     """df computed once, in the shared checkpoint folder: a lost executor costs no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shipped(spark: SparkSession) -> SparkSession:
+    """spark, with this package's folder on the Python path of its workers."""
+    home, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if home not in environment.get("PYTHONPATH", "").split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(x for x in (home, environment.get("PYTHONPATH")) if x)
+    return spark

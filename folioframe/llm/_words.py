@@ -62,6 +62,8 @@ class Words(NamedTuple):
     high: int
     hashes: np.ndarray
     counts: np.ndarray
+    #: Fingerprints of the words' beginnings, one array for each asked length in bytes.
+    beginnings: tuple[np.ndarray, ...] = ()
 
 
 #: Bytes that are hashed at a time; bounds the arrays, not the text.
@@ -80,7 +82,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, np.frombuffer(data, np.uint8) if data and data.size else np.zeros(0, np.uint8)
 
 
-def word_chunks(column: pa.Array, seps: np.ndarray, max_bytes: int = 2 * PIECE, lower: bool = True) -> Iterator[Words]:
+def word_chunks(column: pa.Array, seps: np.ndarray, max_bytes: int = 2 * PIECE, lower: bool = True, beginnings: tuple[int, ...] = ()) -> Iterator[Words]:
     """Words of all rows, in chunks of whole rows of about max_bytes."""
     offsets, data = text_buffers(column)
     low, rows = 0, len(offsets) - 1
@@ -89,7 +91,9 @@ def word_chunks(column: pa.Array, seps: np.ndarray, max_bytes: int = 2 * PIECE,
         b = data[offsets[low] : offsets[high]]
         cuts = offsets[low : high + 1] - offsets[low]
         starts, ends = spans(b, cuts, seps)
-        yield Words(low, high, span_hashes(LOWER[b] if lower else b, starts, ends), np.diff(np.searchsorted(starts, cuts)))
+        b = LOWER[b] if lower else b
+        short = tuple(span_hashes(b, starts, np.minimum(ends, starts + n)) for n in beginnings)
+        yield Words(low, high, span_hashes(b, starts, ends), np.diff(np.searchsorted(starts, cuts)), short)
         low = high
 
 
