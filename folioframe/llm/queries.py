@@ -20,6 +20,14 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), width=4, similarity=0.85)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import licensed
+
+    folder = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 100).cast("string"))
+    files = _table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", folder, F.concat("doc_id", F.lit(".txt"))).alias("path"), "text")
+    return licensed(files).select("doc_id", "path", "license", F.round("score", 6).alias("score"), "origin", "licensed_by")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import secret_scan as S
 
@@ -31,6 +39,16 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Bytes of a shard.
+SHARD_BYTES = 1 << 20
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shards
+
+    return shards(_table(spark, sf_dir, "documents").select("doc_id", "text"), SHARD_BYTES)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity as T
 
@@ -55,6 +73,20 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .edit_counts import recounted
+
+    # Three edits a document, at places that its doc_id gives: up to 12 characters become up to 24 from elsewhere in it.
+    place = lambda seq, salt, n: F.pmod(F.xxhash64("doc_id", F.lit(seq), F.lit(salt)), n).cast("int")
+    n = F.length(F.coalesce("text", F.lit(""))) + 1
+    edit = lambda seq: F.struct(place(seq, 0, n).alias("start"), place(seq, 1, F.lit(13)).alias("length"), F.substring("text", place(seq, 2, n) + 1, place(seq, 3, F.lit(25))).alias("replacement"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.array(*map(edit, range(3))).alias("edits"))
+    out = recounted(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.select("doc_id", "n_tokens", "n_tokens_after", "n_chars_after", "reencoded_chars", F.sha2("text_after", 256).alias("text_after_sha256"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -67,7 +99,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op3_secret_scan, op5_toxicity, op6_decontaminate, op7_quality_rules, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_license_scan, op3_secret_scan, op4_sharding, op5_toxicity, op6_decontaminate, op7_quality_rules, op8_token_counts, op10_byte_bpe)}
 
 
 _OP6_SQL = r"""
@@ -93,5 +125,18 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+_OP4_SQL = f"""
+WITH r AS (
+  SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS bytes, ('0x' || substr(sha256(doc_id::VARCHAR), 1, 15))::BIGINT AS h FROM documents
+), l AS (
+  SELECT d, h >> (60 - d) AS prefix, sum(bytes)::BIGINT AS shard_bytes, count(*)::BIGINT AS shard_docs FROM r, (SELECT unnest(range(0, 61)) AS d) GROUP BY d, h >> (60 - d)
+), leaf AS (
+  SELECT r.doc_id, r.bytes, min(l.d) AS d FROM r, l WHERE l.prefix = r.h >> (60 - l.d) AND (l.shard_bytes <= {SHARD_BYTES} OR l.d = 60) GROUP BY r.doc_id, r.bytes
+)
+SELECT doc_id, leaf.bytes, left(lpad(bin(r.h), 60, '0'), leaf.d::INT) AS shard, leaf.d::INTEGER AS depth, shard_bytes, shard_docs, shard_bytes > {SHARD_BYTES} AS oversized
+FROM leaf JOIN r USING (doc_id) JOIN l ON l.d = leaf.d AND l.prefix = r.h >> (60 - leaf.d)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontaminate": _OP6_SQL}
+    return {"op4_sharding": _OP4_SQL, "op6_decontaminate": _OP6_SQL}
