@@ -62,7 +62,7 @@ class Words(NamedTuple):
     high: int
     hashes: np.ndarray
     counts: np.ndarray
-    #: Fingerprints of the words' beginnings, one array for each asked length in bytes.
+    #: Fingerprints of the words' beginnings, one array for each asked length in bytes; of their endings where it is negative.
     beginnings: tuple[np.ndarray, ...] = ()
 
 
@@ -92,7 +92,7 @@ def word_chunks(column: pa.Array, seps: np.ndarray, max_bytes: int = 2 * PIECE,
         cuts = offsets[low : high + 1] - offsets[low]
         starts, ends = spans(b, cuts, seps)
         b = LOWER[b] if lower else b
-        short = tuple(span_hashes(b, starts, np.minimum(ends, starts + n)) for n in beginnings)
+        short = tuple(span_hashes(b, starts, np.minimum(ends, starts + n)) if n > 0 else span_hashes(b, np.maximum(starts, ends + n), ends) for n in beginnings)
         yield Words(low, high, span_hashes(b, starts, ends), np.diff(np.searchsorted(starts, cuts)), short)
         low = high
 
