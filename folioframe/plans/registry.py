@@ -22,9 +22,15 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+def _loaded() -> None:
+    from folioframe.plans import document_queries, task_queries  # noqa: F401  they register themselves
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _loaded()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _loaded()
     return dict(_SQL)
