@@ -18,10 +18,19 @@ from folioframe.llm.components import components
 TOXIC = 0.7
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """Text beside one struct of all other columns, so that no name of theirs meets an operator's own."""
+    return docs.select(F.struct(*(c for c in docs.columns if c != "text")).alias("__row"), "text")
+
+
+def _unpacked(df: DataFrame, docs: DataFrame) -> DataFrame:
+    return df.select(*(F.col("text") if c == "text" else F.col("__row")[c].alias(c) for c in docs.columns))
+
+
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops toxic documents; those without a word stay."""
     labels = shipped(spark).read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.scored(docs, toxicity.fit(docs, labels)).where(F.col("score") < TOXIC).select(*docs.columns)
+    return _unpacked(toxicity.scored(_packed(docs), toxicity.fit(docs, labels)).where(F.col("score") < TOXIC), docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,10 +52,14 @@ def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks secrets in the texts; n_chars follows."""
     shipped(spark)
-    found, _ = secret_scan.scan(docs, keep=pinned)
-    text = secret_scan.redact(F.col("text"), F.col("findings"))
-    hit = F.size("findings") > 0
-    return found.select(*(text.alias(c) if c == "text" else F.when(hit, F.length(text)).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    found, _ = secret_scan.scan(_packed(docs), keep=pinned)
+    text, hit = secret_scan.redact(F.col("text"), F.col("findings")), F.size("findings") > 0
+    masked = found.select("__row", text.alias("text"), hit.alias("hit"))
+    out = _unpacked(masked, docs)
+    if "n_chars" in docs.columns:
+        n = F.when(F.col("hit"), F.length("text")).otherwise(F.col("__row")["n_chars"]).cast(docs.schema["n_chars"].dataType)
+        out = masked.select(*(F.col("text") if c == "text" else n.alias(c) if c == "n_chars" else F.col("__row")[c].alias(c) for c in docs.columns))
+    return out
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
