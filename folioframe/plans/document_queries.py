@@ -449,3 +449,33 @@ def _(spark, d):
 def _(spark, d):
     r = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("source_id"), F.col("l_partkey").alias("target_id"), F.col("l_linenumber").alias("version"))
     return C.last_wins(r, ["source_id", "target_id"], F.col("version"))
+
+
+@query("e9_distinct_words", f"""WITH t AS (SELECT doc_id, unnest({WORDS}) AS w, generate_subscripts({WORDS}, 1) AS pos FROM documents), f AS (SELECT doc_id, w, min(pos) AS p FROM t WHERE length(w) >= 3 AND w NOT IN ('the', 'and', 'for') GROUP BY 1, 2)
+  SELECT d.doc_id, coalesce(k, '') AS keywords FROM documents d LEFT JOIN (SELECT doc_id, array_to_string(list(w ORDER BY p)[1:12], ' ') AS k FROM f GROUP BY 1) USING (doc_id)""")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(X.distinct_words(F.col("text"), STOP), " ").alias("keywords"))
+
+
+@query("f6_f8_slugs_and_stems", r"""SELECT p_partkey, left(trim(regexp_replace(lower(p_name || ' ' || p_brand), '[^0-9a-zA-ZÀ-ỹ]+', '-', 'g'), '-'), 90) AS slug, trim(translate(regexp_replace(p_name || '_' || p_brand || '.v1.txt', '\.[^.]+$', ''), '_-', '  ')) AS stem FROM part""")
+def _(spark, d):
+    return table(spark, d, "part").select("p_partkey", X.slug(F.concat_ws(" ", "p_name", "p_brand")).alias("slug"), X.file_stem(F.concat("p_name", F.lit("_"), "p_brand", F.lit(".v1.txt"))).alias("stem"))
+
+
+@query("d7_entity_dedupe", "SELECT o_custkey AS doc_id, o_orderstatus AS entity_type, min_by(o_orderpriority, o_orderkey) AS entity_value, max(o_totalprice) AS weight FROM orders GROUP BY o_custkey, o_orderstatus, lower(o_orderpriority)")
+def _(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderstatus").alias("entity_type"), F.col("o_orderpriority").alias("entity_value"), F.col("o_orderkey").alias("pos"), F.col("o_totalprice").alias("weight"))
+    return K.deduped(rows)
+
+
+@query("b10_newest_results", "SELECT conv_id, turn, role FROM conversations WHERE role = 'user' ORDER BY conv_id DESC, turn DESC LIMIT 100")
+def _(spark, d):
+    from folioframe.operators.tasks import newest
+
+    return newest(C.by_key(table(spark, d, "conversations"), role="user"), "conv_id", "turn", n=100).select("conv_id", "turn", "role")
+
+
+@query("f20_f21_similarity", "SELECT a.vec_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 4) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def _(spark, d):
+    v = _vectors(spark, d).select("vec_id", V.normalized(F.col("vector"), 12).alias("v"))
+    return v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w")), "vec_id").select("vec_id", F.round(V.similarity(F.col("v"), F.col("w")), 4).alias("cosine"))
