@@ -46,13 +46,15 @@ def duplicates(incoming: DataFrame, catalogue: DataFrame) -> DataFrame:
     Rows are compared by (checksum) keys only; a checksum that a third of all rows share is
     reduced by partial aggregation, never gathered.
     """
-    holders = catalogue.groupBy("checksum").agg(F.min(F.struct("id", "file_path")).alias("__first"), F.max_by("file_path", F.struct("id", "file_path")).alias("__last"), F.count(F.lit(1)).alias("__n"))
-    first = incoming.groupBy("checksum").agg(F.min("path").alias("__path"))
-    own = catalogue.select(F.col("file_path").alias("path"), F.col("checksum").alias("__own"))
-    out = incoming.join(own, "path", "left").join(holders, "checksum", "left").join(first, "checksum", "left")
-    others = F.coalesce("__n", F.lit(0)) - F.when(F.col("__own") == F.col("checksum"), 1).otherwise(0)
-    lowest = F.when(others > 0, F.when(F.col("__first.file_path") != F.col("path"), F.col("__first.id")))
-    out = out.withColumn("duplicate_of", lowest).withColumn("is_duplicate", (others > 0) | (F.col("__path") < F.col("path")))
+    first = catalogue.groupBy("checksum").agg(F.min("id").alias("__1"))
+    second = catalogue.select("id", "checksum").join(first, "checksum").where("id > __1").groupBy("checksum").agg(F.min("id").alias("__2"))
+    own = catalogue.select(F.col("file_path").alias("path"), F.col("checksum").alias("__own"), F.col("id").alias("__id"))
+    path = incoming.groupBy("checksum").agg(F.min("path").alias("__path"))
+    out = incoming.join(own, "path", "left").join(first, "checksum", "left").join(second, "checksum", "left").join(path, "checksum", "left")
+    # The row's own catalogue entry does not count: where it holds the lowest id, the next one is named.
+    mine = F.coalesce((F.col("__own") == F.col("checksum")) & (F.col("__id") == F.col("__1")), F.lit(False))
+    out = out.withColumn("duplicate_of", F.when(mine, F.col("__2")).otherwise(F.col("__1")))
+    out = out.withColumn("is_duplicate", F.col("duplicate_of").isNotNull() | (F.col("__path") < F.col("path")))
     return out.select(*incoming.columns, "duplicate_of", "is_duplicate")
 
 

@@ -13,8 +13,8 @@ from folioframe.functions import text as X
 def keyword_weights(documents: DataFrame, top: int = R.TOP_KEYWORDS, stopwords=R.KNOWLEDGE_STOPWORDS) -> DataFrame:
     """(doc_id, keyword, weight): the most frequent words of each document, first seen first among equals.
 
-    Counted inside each row: distinct words, their places and counts are array work, so a
-    document's words are never shuffled.
+    A document's words are exploded in one task, so the partial counts that are shuffled are one
+    row per distinct word of a document.
     """
     words = documents.select("doc_id", F.posexplode(X.tokens(F.col("text"))).alias("pos", "keyword"))
     words = words.where((F.length("keyword") >= 3) & ~F.col("keyword").isin(stopwords))

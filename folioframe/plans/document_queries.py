@@ -72,7 +72,7 @@ def _(spark, d):
 
 @query("a8_duplicates", f"""WITH {CAT}, c AS (SELECT * FROM cat WHERE field <> 'en' OR n_chars > 1000), i AS (SELECT file_path AS path, checksum FROM cat),
   h AS (SELECT i.path, min(c.id) AS duplicate_of FROM i JOIN c ON c.checksum = i.checksum AND c.file_path <> i.path GROUP BY 1), f AS (SELECT checksum, min(path) AS p FROM i GROUP BY 1)
-  SELECT i.path, i.checksum, CASE WHEN EXISTS (SELECT 1 FROM c WHERE c.checksum = i.checksum AND c.file_path = i.path AND c.id < h.duplicate_of) THEN NULL ELSE duplicate_of END AS duplicate_of, duplicate_of IS NOT NULL OR f.p < i.path AS is_duplicate FROM i LEFT JOIN h USING (path) JOIN f USING (checksum)""")
+  SELECT i.path, i.checksum, duplicate_of, duplicate_of IS NOT NULL OR f.p < i.path AS is_duplicate FROM i LEFT JOIN h USING (path) JOIN f USING (checksum)""")
 def _(spark, d):
     c = catalogue(spark, d)
     return C.duplicates(c.select(F.col("file_path").alias("path"), "checksum"), c.where("field <> 'en' OR n_chars > 1000"))
