@@ -47,17 +47,24 @@ class Vocabulary:
         self.match = regex.compile(pattern).findall
         # The last merge that makes each token: its two parts.
         self.parts, self.joined = {}, {}
-        self.automaton = ahocorasick.Automaton()
+        self.automaton, self.automaton_words = ahocorasick.Automaton(), set()
         for piece, own in self.rank.items():
             parts = self._merge(piece, own) if len(piece) > 1 else [piece]
             if len(parts) <= 2:  # others are never made by merges
-                self.automaton.add_word(piece.decode("latin-1"), (own, len(piece)))
+                self.automaton.add_word(piece.decode("latin-1"), (own, len(piece) - 1))
+                self.automaton_words.add(piece)
                 if len(parts) == 2:
                     left, right = self.rank[parts[0]], self.rank[parts[1]]
                     self.parts[own] = left, right
                     self.joined[left, right] = own
         self.automaton.make_automaton()
-        self.fits: dict[tuple[int, int], bool] = {}
+        # Per token: its bytes, and the longest token that begins it (-1: none).
+        self.above = max(self.token) + 1
+        self.length, self.shorter = [0] * self.above, [-1] * self.above
+        for piece, own in self.rank.items():
+            self.length[own] = len(piece)
+            self.shorter[own] = next((self.rank[piece[:n]] for n in range(len(piece) - 1, 0, -1) if piece[:n] in self.automaton_words), -1)
+        self.fits: dict[int, bool] = {}
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
@@ -99,38 +106,35 @@ class Vocabulary:
         if (own := self.rank.get(raw)) is not None:
             return array("I", (own,)).tobytes()
         size = len(raw)
-        starting: list[list[tuple[int, int]]] = [[] for _ in range(size)]
-        for last, found in self.automaton.iter(raw.decode("latin-1")):
-            starting[last + 1 - found[1]].append(found)  # by rising length
-        fits, dead = self.fits, bytearray(size + 1)
+        longest = [-1] * size
+        for last, (token, n) in self.automaton.iter(raw.decode("latin-1")):
+            longest[last - n] = token  # the last found at a start is the longest
+        fits, length, shorter, dead = self.fits, self.length, self.shorter, bytearray(size + 1)
         if len(fits) > 2 * MEMO:
             fits.clear()
         ids: list[int] = []
-        untried: list[int] = []  # tokens left to try at each id's start
-        at, left = 0, len(starting[0])
+        at, token = 0, longest[0]
         while at < size:
-            here = starting[at]
-            while left:
-                left -= 1
-                token, n = here[left]
-                if dead[at + n]:
-                    continue
-                if ids:
-                    pair = ids[-1], token
+            while token >= 0:
+                if not dead[at + length[token]]:
+                    if not ids:
+                        break
+                    pair = ids[-1] * self.above + token
                     good = fits.get(pair)
                     if good is None:
-                        good = fits[pair] = self._compatible(*pair)
-                    if not good:
-                        continue
+                        good = fits[pair] = self._compatible(ids[-1], token)
+                    if good:
+                        break
+                token = shorter[token]
+            if token >= 0:
                 ids.append(token)
-                untried.append(left)
-                at += n
-                left = len(starting[at]) if at < size else 0
-                break
-            else:
+                at += length[token]
+                token = longest[at] if at < size else -1
+            else:  # nothing fits here: the token before ends in a dead place
                 dead[at] = 1
-                at -= len(self.token[ids.pop()])
-                left = untried.pop()
+                token = ids.pop()
+                at -= length[token]
+                token = shorter[token]
         return array("I", ids).tobytes()
 
     def _word(self, text: str) -> bytes:
@@ -146,21 +150,27 @@ class Vocabulary:
             out.append(ids)
         return b"".join(out)
 
+    def by_word(self, text: str) -> tuple[list[str], list[bytes]]:
+        """The text's words (all but the first had a blank before them) and their ids."""
+        words = self.words
+        parts = _BORDER.split(text)
+        out = [self._word(parts[0]), *map(words.get, parts[1:])]
+        if None in out:
+            for i, word in enumerate(parts):
+                if out[i] is None:
+                    ids = words.get(word)
+                    if ids is None:
+                        if len(words) >= MEMO:
+                            words.clear()
+                        ids = self._word(" " + word)
+                        if len(word) < 64:
+                            words[word] = ids
+                    out[i] = ids
+        return parts, out
+
     def encode(self, text: str) -> bytes:
         """Ids of the whole text, as little-endian unsigned 32-bit integers."""
-        words, out = self.words, []
-        first, *rest = _BORDER.split(text)
-        out.append(self._word(first))
-        for word in rest:
-            ids = words.get(word)
-            if ids is None:
-                if len(words) >= MEMO:
-                    words.clear()
-                ids = self._word(" " + word)
-                if len(word) < 64:
-                    words[word] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(self.by_word(text)[1])
 
     def decode(self, ids: bytes) -> bytes:
         numbers = array("I")

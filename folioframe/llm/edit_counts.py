@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .byte_bpe import _BORDER, ROWS, Vocabulary, vocabulary
+from .byte_bpe import ROWS, Vocabulary, vocabulary
 
 LEAF = 16
 EDITS = "array<struct<start:int,length:int,replacement:string>>"
@@ -32,12 +32,13 @@ class TokenTree:
 
     def __init__(self, text: str, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        words = _BORDER.split(text)
+        words, ids = vocabulary.by_word(text)
+        counts = [len(x) // 4 for x in ids]
         self.leaves = [(" " if i else "") + " ".join(words[i : i + LEAF]) for i in range(0, len(words), LEAF)]
         self.size = 1 << (len(self.leaves) - 1).bit_length()
         self.chars, self.tokens = ([0] * (2 * self.size) for _ in range(2))
         for i, leaf in enumerate(self.leaves):
-            self.chars[self.size + i], self.tokens[self.size + i] = len(leaf), self._count(leaf)
+            self.chars[self.size + i], self.tokens[self.size + i] = len(leaf), sum(counts[LEAF * i : LEAF * i + LEAF])
         for i in range(self.size - 1, 0, -1):
             self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
             self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
