@@ -259,11 +259,21 @@ def _values(spark, d):
     return K.keyword_weights(table(spark, d, "documents"), stopwords=STOP).select("doc_id", F.col("keyword").alias("entity_value"))
 
 
+def _all_values(spark, d):
+    return _values(spark, d)
+
+
 @query("c7_shared_values", f"WITH {PAIRS} SELECT * FROM pairs")
 def _(spark, d):
     return K.shared_values(_values(spark, d), max_document_frequency=40)
 
 
+@query("c7_all_shared_values")
+def _(spark, d):
+    """Every pair of documents with a common value, however many documents hold it."""
+    return K.shared_values(_all_values(spark, d))
+
+
 @query("g4_entities")
 def _(spark, d):
     c = catalogue(spark, d).select("doc_id", "text", "document_type", "document_number", "issuing_agency", F.lit(None).cast("string").alias("signer"), "field")
@@ -289,6 +299,12 @@ def _(spark, d):
     return K.relations(docs, _values(spark, d), max_document_frequency=40).withColumn("confidence", F.round("confidence", 6))
 
 
+@query("h1_h2_all_relations")
+def _(spark, d):
+    docs = _typed(spark, d).select("doc_id", "document_type", F.col("source").alias("field"))
+    return K.relations(docs, _all_values(spark, d)).withColumn("confidence", F.round("confidence", 6))
+
+
 @query("h5_relations_v2", """WITH m AS (SELECT doc_id, source || '-' || n_chars AS no, source || lang AS f, CASE lang WHEN 'en' THEN 'bao_cao' WHEN 'fr' THEN 'ke_hoach' WHEN 'de' THEN 'quyet_dinh' ELSE 'cong_van' END AS t FROM documents),
   r AS (SELECT x.doc_id AS s, y.doc_id AS g, CASE WHEN x.no = y.no THEN 1 WHEN x.t = 'bao_cao' AND y.t IN ('ke_hoach', 'cong_van') AND x.f = y.f THEN 2 WHEN x.t IN ('cong_van', 'ke_hoach') AND y.t IN ('quy_dinh', 'quyet_dinh') THEN 3 WHEN x.f = y.f THEN 4 END AS k FROM m x JOIN m y ON x.doc_id <> y.doc_id)
   SELECT s AS source_id, g AS target_id, ['references', 'reports', 'implements', 'related'][k] AS relation_type, [0.92, 0.78, 0.72, 0.58][k]::DOUBLE AS confidence FROM r WHERE k IS NOT NULL""")

@@ -86,6 +86,27 @@ def test_relations_match_a_plain_model(spark):
     assert all(got[k][1] == pytest.approx(want[k][1]) for k in want if k[0] < k[1] or want[k][2])
 
 
+def test_all_relations_lose_no_shared_value(spark):
+    from folioframe.plans import document_queries as Q
+    from folioframe.plans.registry import queries
+
+    d = "/root/testdata/sf0.001"
+    values = {}
+    for r in Q._all_values(spark, d).collect():
+        values.setdefault(r.doc_id, set()).add(r.entity_value.lower())
+    holders = {}
+    for i, vs in values.items():
+        for v in vs:
+            holders.setdefault(v, set()).add(i)
+    assert max(map(len, holders.values())) > 40
+    want = {(a, b): (len(x), ", ".join(sorted(x)[:8])) for a in values for b in values if a < b and (x := values[a] & values[b])}
+    assert {(r.a, r.b): (r.shared, r.evidence) for r in queries()["c7_all_shared_values"](spark, d).collect()} == want
+    docs = {r.doc_id: (r.document_type, r.source) for r in Q._typed(spark, d).collect()}
+    want = model_relations(docs, {i: values.get(i, set()) for i in docs}, R.TYPE_RANKS)
+    got = {(r.source_id, r.target_id, r.relation_type): (r.weight, r.is_bidirectional, r.evidence) for r in queries()["h1_h2_all_relations"](spark, d).collect()}
+    assert got == {k: (x[0], x[2], x[3]) for k, x in want.items()}
+
+
 def test_entities(spark):
     df = spark.createDataFrame([(1, "cán bộ cán bộ 12/KH 12/kh quyết", "Kế hoạch", "12/KH", "Ban", None, None)], "doc_id long, text string, document_type string, document_number string, issuing_agency string, signer string, field string")
     got = {(r.entity_type, r.entity_value): r.weight for r in K.entities(df).collect()}
