@@ -259,8 +259,14 @@ def _values(spark, d):
     return K.keyword_weights(table(spark, d, "documents"), stopwords=STOP).select("doc_id", F.col("keyword").alias("entity_value"))
 
 
+def _entities(spark, d):
+    c = catalogue(spark, d).select("doc_id", "text", "document_type", "document_number", "issuing_agency", F.lit(None).cast("string").alias("signer"), "field")
+    return K.entities(c, FIELDS)
+
+
 def _all_values(spark, d):
-    return _values(spark, d)
+    """All entity values: type, number, agency, signer, field, keywords and reference numbers."""
+    return _entities(spark, d).select("doc_id", "entity_value")
 
 
 @query("c7_shared_values", f"WITH {PAIRS} SELECT * FROM pairs")
@@ -276,8 +282,7 @@ def _(spark, d):
 
 @query("g4_entities")
 def _(spark, d):
-    c = catalogue(spark, d).select("doc_id", "text", "document_type", "document_number", "issuing_agency", F.lit(None).cast("string").alias("signer"), "field")
-    return K.entities(c, FIELDS)
+    return _entities(spark, d)
 
 
 #: Types of the relation rules, by language; the field is the source and the language together, which keeps fields small.

@@ -107,6 +107,15 @@ def test_all_relations_lose_no_shared_value(spark):
     assert got == {k: (x[0], x[2], x[3]) for k, x in want.items()}
 
 
+def test_all_pairs_share_metadata_too(spark):
+    from folioframe.plans.registry import queries
+
+    d = "/root/testdata/sf0.001"
+    docs = {r.doc_id: (r.source, r.lang) for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    pairs = {(r.a, r.b): r.shared for r in queries()["c7_all_shared_values"](spark, d).collect()}
+    assert all(pairs.get((a, b), 0) >= sum(x == y for x, y in zip(docs[a], docs[b])) for a in docs for b in docs if a < b)
+
+
 def test_entities(spark):
     df = spark.createDataFrame([(1, "cán bộ cán bộ 12/KH 12/kh quyết", "Kế hoạch", "12/KH", "Ban", None, None)], "doc_id long, text string, document_type string, document_number string, issuing_agency string, signer string, field string")
     got = {(r.entity_type, r.entity_value): r.weight for r in K.entities(df).collect()}
