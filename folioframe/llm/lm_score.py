@@ -5,8 +5,8 @@ batch before the shuffle. The most frequent words are units of their own; every
 belongs to the unit of its ending. Units are put into classes by the company they keep
 (counts of which frequent word stands before them, over all training texts). A log-bilinear
 model predicts the next token's class from the vectors of the tokens before it, through one
-matrix per distance; it is trained in numpy by noise-contrastive estimation on every
-training text, each task on its own texts, and the tasks' parameters are averaged, round by
+matrix per distance; it is trained in numpy by noise-contrastive estimation on every token of
+every training text in each round, each task on its own texts, and the tasks' parameters are averaged, round by
 round. Scores are normalised: a softmax over all classes by one matrix product per batch,
 times the unit's share in its class, times the word's in its unit, where an unseen word has
 the place of one more word of its unit.
@@ -42,7 +42,7 @@ CLASSES, SIZE, CONTEXT = 160, 16, 3
 KNOWN = 1 << 16
 #: Words before a token by which units are put into classes.
 COMPANY = 96
-NOISE, RATE, ROUNDS, STRIDE, BATCH = 24, 0.15, 2, 4, 1024
+NOISE, RATE, ROUNDS, BATCH = 24, 0.15, 2, 1024
 END = U(0x9E0D)
 
 
@@ -142,6 +142,17 @@ def _classes(table: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return of
 
 
+def _summed(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (units or classes), each once, and the sums of their rows of x."""
+    keys = keys.astype(np.int16)
+    order = np.argsort(keys, kind="stable")  # by radix
+    keys = keys[order]
+    last = np.flatnonzero(np.append(keys[1:] != keys[:-1], True))
+    sums = np.cumsum(x[order], axis=0, dtype=np.float64)[last]
+    sums[1:] -= sums[:-1].copy()
+    return keys[last], sums.astype(np.float32)
+
+
 class LogBilinear:
     """Vectors of units (context) and classes (target), one diagonal matrix per distance, biases."""
 
@@ -177,45 +188,49 @@ class LogBilinear:
         """One step of noise-contrastive estimation; the batch shares its noise."""
         n = len(target)
         noise = rng.choice(CLASSES, NOISE, p=self.share)
-        q = self.predicted(before)
+        x = self.unit[before]
+        q = sum(x[:, j] * self.at[j] for j in range(CONTEXT))
         log_k = np.log(NOISE * self.share + 1e-12).astype(np.float32)
-        own = (q * self.target[target]).sum(1) + self.bias[target] - log_k[target]
-        other = q @ self.target[noise].T + (self.bias - log_k)[noise]
+        near, far = self.target[target], self.target[noise]
+        own = np.einsum("ij,ij->i", q, near) + (self.bias - log_k)[target]
+        other = q @ far.T
+        other += (self.bias - log_k)[noise]
         g_own = 1 / (1 + np.exp(np.clip(own, -30, 30)))
-        g_other = -1 / (1 + np.exp(np.clip(-other, -30, 30)))
-        g_q = g_own[:, None] * self.target[target] + g_other @ self.target[noise]
-        g_target = np.zeros_like(self.target)
-        one = np.zeros((n, CLASSES), np.float32)
-        one[np.arange(n), target] = g_own
-        g_target += one.T @ q
+        np.clip(other, -30, 30, out=other)
+        np.negative(other, out=other)
+        np.exp(other, out=other)
+        other += 1
+        g_other = np.divide(-1, other, out=other)
+        g_q = g_own[:, None] * near
+        g_q += g_other @ far
+        g_target, g_bias = np.zeros_like(self.target), np.bincount(target, g_own, minlength=CLASSES).astype(np.float32)
+        key, sums = _summed(target, g_own[:, None] * q)
+        g_target[key] = sums
         np.add.at(g_target, noise, g_other.T @ q)
-        g_bias = one.sum(0)
         np.add.at(g_bias, noise, g_other.sum(0))
         step = rate / n * 8
         for j in range(CONTEXT):
-            x = self.unit[before[:, j]]
             g_x = np.clip(g_q * self.at[j], -1, 1)
-            self.at[j] += step * 0.1 * (g_q * x).sum(0)
-            order = np.argsort(before[:, j], kind="stable")
-            u, first = np.unique(before[order, j], return_index=True)
-            self.unit[u] += step * 8 * np.add.reduceat(g_x[order], first)
+            self.at[j] += step * 0.1 * np.einsum("ij,ij->j", g_q, x[:, j])
+            key, sums = _summed(before[:, j], g_x)
+            self.unit[key] += step * 8 * sums
         self.target += step * g_target
         self.bias += step * g_bias
 
 
-def _training(shared, rate: float):
+def _training(shared, rate: float, turn: int):
     """(text) -> (row, v0, ...): parameters that this task's texts have trained, times the number of its steps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, of, rows, share = shared.value
         model = LogBilinear(share)
         model.take(rows)
-        rng, steps = np.random.default_rng(11), 0
+        rng, steps = np.random.default_rng((11, turn)), 0
         for batch in batches:
             for words, ending in _tokens(batch.column("text")):
                 units, _, counts = vocabulary.units(words, ending)
                 before = _before(units, counts)
-                chosen = rng.permutation(np.arange(rng.integers(STRIDE), len(units), STRIDE))
+                chosen = rng.permutation(len(units))
                 for i in range(0, len(chosen), BATCH):
                     at = chosen[i : i + BATCH]
                     model.train(before[at], of[units[at]], rng, rate)
@@ -272,7 +287,7 @@ def fit(training: DataFrame) -> tuple[Scorer, DataFrame]:
     for turn in range(ROUNDS):
         now = spark.sparkContext.broadcast((vocabulary, of, model.rows(), model.share))
         columns = ", ".join(f"v{i} double" for i in range(SIZE))
-        trained = texts.mapInArrow(_training(now, RATE / (1 + turn)), f"row int, {columns}, steps double")
+        trained = texts.mapInArrow(_training(now, RATE / (1 + turn), turn), f"row int, {columns}, steps double")
         mean = trained.groupBy("row").agg(*((F.sum(f"v{i}") / F.sum("steps")).alias(f"v{i}") for i in range(SIZE))).orderBy("row").toPandas()
         if len(mean):
             model.take(mean[[f"v{i}" for i in range(SIZE)]].to_numpy())

@@ -359,6 +359,28 @@ def test_lm_score(spark):
     assert sum(np.exp(scorer.model.log_softmax(before, np.array([k])))[0] for k in range(L.CLASSES)) == pytest.approx(1, abs=1e-4)
 
 
+def test_lm_trains_on_every_token(monkeypatch):
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    from folioframe.llm import lm_score as L
+
+    met, draws = [], []
+    monkeypatch.setattr(L.LogBilinear, "train", lambda self, before, target, rng, rate: (met.append(len(target)), draws.append(rng.random())))
+    text = "one two three four five six seven"
+    vocabulary = L.Vocabulary.__new__(L.Vocabulary)
+    vocabulary.words, vocabulary.unit_n = np.zeros(0, np.uint64), np.zeros(L.UNITS)
+    share = np.full(L.CLASSES, 1 / L.CLASSES)
+    shared = SimpleNamespace(value=(vocabulary, np.zeros(L.UNITS, np.int64), L.LogBilinear(share).rows(), share))
+    batch = pa.RecordBatch.from_pydict({"text": [text] * 500})
+    for turn in range(L.ROUNDS):
+        assert sum(1 for _ in L._training(shared, 0.1, turn)(iter([batch]))) == 1
+    assert sum(met) == L.ROUNDS * 500 * 8  # seven words and the end
+    assert len(set(draws)) == len(draws)
+
+
 def test_lm_score_of_nothing(spark):
     from folioframe.llm import lm_score as L
 
