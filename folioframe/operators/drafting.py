@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from folioframe.functions import rules as R
@@ -111,10 +116,52 @@ def carried_over(results: DataFrame, citations: DataFrame) -> DataFrame:
 def replayed(log: DataFrame, steps=R.REVIEW_STEPS, first: str = "pending_outline_review") -> DataFrame:
     """(result_id, status, n_refused): the log (result_id, seq, action) played through the legal steps; an action that is not legal is refused and changes nothing.
 
-    A result's actions are folded in their order inside one row; a result's own log is what is gathered.
+    The log is dealt by ranges of (result_id, seq, action), so a long one spans many partitions.
+    Each partition reduces its part of a result's log to one row: the state after it and the
+    number refused, from each of the few states. A result's rows, one per partition, are then
+    met in order.
     """
-    acts = log.groupBy("result_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "action"))), lambda x: x["action"]).alias("actions"))
-    after = lambda s, a: F.coalesce(*(F.when((s == now) & (a == act), F.lit(then)) for now, act, then in steps))
-    start = F.struct(F.lit(first).alias("status"), F.lit(0).alias("n_refused"))
-    fold = F.aggregate("actions", start, lambda s, a: F.struct(F.coalesce(after(s["status"], a), s["status"]).alias("status"), (s["n_refused"] + after(s["status"], a).isNull().cast("int")).alias("n_refused")))
-    return acts.select("result_id", fold.alias("f")).select("result_id", "f.*")
+    states = list(dict.fromkeys([first, *(s for now, _, then in steps for s in (now, then))]))
+    place = {s: i for i, s in enumerate(states)}
+    legal = {}
+    for now, act, then in reversed(list(steps)):  # the first of equal steps counts
+        legal.setdefault(act, {})[place[now]] = place[then]
+    start = tuple(range(len(states)))
+
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        known, row = False, None  # row: result, state after each start, refused since each start
+        moves = {a: [(m.get(s, s), int(s not in m)) for s in start] for a, m in legal.items()}
+        refused = [(s, 1) for s in start]
+        done = []
+
+        def out(rows):
+            ids, after, n = zip(*rows)
+            return pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array([part] * len(rows), pa.int32()), pa.array(after, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int64()))], ["result_id", "part", "after", "refused"])
+
+        for batch in batches:
+            kind = batch.schema.field("result_id").type
+            for key, act in zip(batch.column("result_id").to_pylist(), batch.column("action").to_pylist()):
+                if not known or key != row[0]:
+                    if known:
+                        done.append(row)
+                    known, row = True, (key, list(start), [0] * len(start))
+                move, (_, after, n) = moves.get(act, refused), row
+                for k, s in enumerate(after):
+                    after[k], more = move[s]
+                    n[k] += more
+            if len(done) >= 4096:
+                yield out(done)
+                done = []
+        if known:
+            yield out([*done, row])
+
+    dealt = log.select("result_id", "seq", "action").repartitionByRange("result_id", "seq", "action").sortWithinPartitions("result_id", "seq", "action")
+    key = T.StructField("result_id", log.schema["result_id"].dataType)
+    kept = T.StructType([key, T.StructField("part", T.IntegerType()), T.StructField("after", T.ArrayType(T.IntegerType())), T.StructField("refused", T.ArrayType(T.LongType()))])
+    parts = dealt.select("result_id", "action").mapInArrow(reduced, kept)
+    gathered = parts.groupBy("result_id").agg(F.sort_array(F.collect_list(F.struct("part", "after", "refused"))).alias("parts"))
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).cast("long").alias("n"))
+    fold = F.aggregate("parts", zero, lambda s, p: F.struct(F.get(p["after"], s["at"]).alias("at"), (s["n"] + F.get(p["refused"], s["at"])).alias("n")))
+    names = F.array(*map(F.lit, states))
+    return gathered.select("result_id", fold.alias("f")).select("result_id", F.get(names, F.col("f.at")).alias("status"), F.col("f.n").cast("int").alias("n_refused"))

@@ -167,6 +167,27 @@ def test_review_replay(spark):
     assert got == {1: ("exported", 1), 2: ("pending_outline_review", 1)}
 
 
+def test_review_replay_gathers_no_log(spark):
+    r = random.Random(5)
+    acts = [a for _, a, _ in R.REVIEW_STEPS] + ["unknown", None]
+    log = [(r.choice([1, 1, 1, 2, 3, None]), r.choice([None, *range(4000)]), r.choice(acts)) for _ in range(8000)]
+    df = spark.createDataFrame(log, "result_id long, seq long, action string").repartition(7)
+    steps, want = {(s, a): t for s, a, t in R.REVIEW_STEPS}, {}
+    for key, _, act in sorted(log, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or 0, x[2] is not None, x[2] or "")):
+        state, n = want.get(key, ("pending_outline_review", 0))
+        want[key] = (steps.get((state, act), state), n + ((state, act) not in steps))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = D.replayed(df)
+        assert {x.result_id: (x.status, x.n_refused) for x in out.collect()} == want
+        assert dict(out.dtypes) == {"result_id": "bigint", "status": "string", "n_refused": "int"}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "rangepartitioning" in out._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list(struct(seq" not in plan
+
+
 def test_json_metadata(spark):
     df = spark.createDataFrame([('{"summary": "s"}',), ("{bad",), ("[1]",), (None,)], "j string")
     assert [r[0].summary for r in df.select(C.parsed_metadata(F.col("j"))).collect()] == ["s", None, None, None]
