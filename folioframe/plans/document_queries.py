@@ -318,6 +318,13 @@ def _(spark, d):
     return M.relations_v2(m.withColumn("normalized_type", M.normalized_type(F.col("document_type"))))
 
 
+@query("h5_relations_of_catalogue")
+def _(spark, d):
+    """As h5_relations_v2, with the catalogue's own field, the language."""
+    m = _typed(spark, d).drop("field").join(catalogue(spark, d).select("doc_id", "field"), "doc_id")
+    return M.relations_v2(m.withColumn("normalized_type", M.normalized_type(F.col("document_type"))))
+
+
 def _metadata(spark, d):
     c = catalogue(spark, d)
     lib = c.select("id", F.when(F.col("field") == "en", F.concat(F.lit("Đảng ủy "), "issuing_agency")).when(F.col("field") == "fr", "").otherwise(F.col("issuing_agency")).alias("issuing_agency"), F.when(F.col("field") == "de", "Quyết định").otherwise("Báo cáo").alias("document_type"), "document_number", "field", F.when(F.col("n_chars") > 500, "2023-05-01").otherwise("soon").alias("issued_date"))

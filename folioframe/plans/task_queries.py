@@ -147,3 +147,12 @@ def _(spark, d):
 
     old = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
     return insert_or_ignore(old, table(spark, d, "region").select((F.col("r_regionkey") + 23).alias("id"), F.col("r_name").alias("name")), "id")
+
+
+@query("a15_seed_partners", "SELECT c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT s_suppkey * 20, s_name FROM supplier WHERE s_suppkey * 20 NOT IN (SELECT c_custkey FROM customer)")
+def _(spark, d):
+    """As a15_seed_dimensions, over tables that grow."""
+    from folioframe.operators.catalog import insert_or_ignore
+
+    old = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return insert_or_ignore(old, table(spark, d, "supplier").select((F.col("s_suppkey") * 20).alias("id"), F.col("s_name").alias("name")), "id")

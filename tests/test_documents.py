@@ -116,6 +116,18 @@ def test_all_pairs_share_metadata_too(spark):
     assert all(pairs.get((a, b), 0) >= sum(x == y for x, y in zip(docs[a], docs[b])) for a in docs for b in docs if a < b)
 
 
+def test_whole_catalogue_fields_and_growing_seeds(spark):
+    from folioframe.plans.registry import queries
+
+    d = "/root/testdata/sf0.001"
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    got = {(r.source_id, r.target_id) for r in queries()["h5_relations_of_catalogue"](spark, d).collect()}
+    assert got >= {(a, b) for a in lang for b in lang if a != b and lang[a] == lang[b]}
+    old = {r.c_custkey: r.c_name for r in spark.read.parquet(f"{d}/customer.parquet").collect()}
+    new = {r.s_suppkey * 20: r.s_name for r in spark.read.parquet(f"{d}/supplier.parquet").collect()}
+    assert {r.id: r.name for r in queries()["a15_seed_partners"](spark, d).collect()} == new | old and new.keys() & old.keys() != set()
+
+
 def test_entities(spark):
     df = spark.createDataFrame([(1, "cán bộ cán bộ 12/KH 12/kh quyết", "Kế hoạch", "12/KH", "Ban", None, None)], "doc_id long, text string, document_type string, document_number string, issuing_agency string, signer string, field string")
     got = {(r.entity_type, r.entity_value): r.weight for r in K.entities(df).collect()}
