@@ -66,6 +66,14 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op6_near_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op6_decontaminate with the proximity half too, which its SQL does not have."""
+    from .decontaminate import contamination
+
+    out = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "n_near_items")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import judged
 
@@ -109,7 +117,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_license_scan, op3_secret_scan, op4_sharding, op5_toxicity, op6_decontaminate, op7_quality_rules, op8_token_counts, op9_lm_score, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_license_scan, op3_secret_scan, op4_sharding, op5_toxicity, op6_decontaminate, op6_near_items, op7_quality_rules, op8_token_counts, op9_lm_score, op10_byte_bpe)}
 
 
 _OP6_SQL = r"""

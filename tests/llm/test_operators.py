@@ -128,6 +128,16 @@ def test_license_pruning_loses_nothing():
             assert not rules.telling.isdisjoint(t)
 
 
+def test_near_items_are_registered(spark):
+    from folioframe.llm.queries import queries
+
+    d = "/root/testdata/sf0.001"
+    exact, near = (queries()[n](spark, d) for n in ("op6_decontaminate", "op6_near_items"))
+    rows = near.collect()
+    assert sorted(tuple(r) for r in exact.collect()) == sorted(tuple(r)[:6] for r in rows)
+    assert all(r.n_near_items >= r.n_items for r in rows) and any(r.n_near_items for r in rows)
+
+
 def test_license_texts_and_wrapped_headers(spark):
     import textwrap
 
