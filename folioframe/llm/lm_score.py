@@ -38,8 +38,10 @@ FREQUENT, ENDINGS = 4096, 512
 UNITS = FREQUENT + ENDINGS + 1  # and the end token's
 END_UNIT = UNITS - 1
 CLASSES, SIZE, CONTEXT = 160, 16, 3
-#: Most frequent words whose counts go to all executors; the others' are joined.
+#: Words whose counts go to all executors, the most frequent ones, at most; the others' are joined.
 KNOWN = 1 << 16
+#: Steps of the histogram of counts in which a count doubles; bits by which a known word is found.
+STEPS, SLOT = 16, 20
 #: Words before a token by which units are put into classes.
 COMPANY = 96
 NOISE, RATE, ROUNDS, BATCH = 24, 0.15, 2, 1024
@@ -65,11 +67,20 @@ class Vocabulary:
     def __init__(self, counts: DataFrame, n_rows: int):
         total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
         self.n, self.v = int(total["n"] or 0) + n_rows, int(total["v"]) + (1 if n_rows else 0)
-        top = counts.orderBy(F.desc("n"), "word").limit(KNOWN).toPandas()
+        # The least count that at most KNOWN words reach, from a histogram of bounded size: no task sends more than its share of those.
+        held = counts.groupBy(F.floor(F.log2("n") * STEPS).alias("step")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("step")).toPandas()
+        fits = held["step"][held["words"].cumsum() <= KNOWN]
+        top = counts.where(F.floor(F.log2("n") * STEPS) >= int(fits.min())) if len(fits) else counts.limit(0)
+        top = top.toPandas().sort_values(["n", "word"], ascending=[False, True], ignore_index=True)
         word = top["word"].to_numpy(np.int64).view(np.uint64)
         unit = np.where(np.arange(len(top)) < FREQUENT, np.arange(len(top)), top["unit"].to_numpy(np.int64))
         order = np.argsort(word)
         self.words, self.unit_of, self.count = word[order], unit[order], top["n"].to_numpy(np.int64)[order]
+        # Where each word is by its first SLOT bits; words that share those with another are looked up by bisection.
+        slot = self.words >> U(64 - SLOT)
+        self.slots = np.full(1 << SLOT, -1, np.int32)
+        self.slots[slot] = np.arange(len(slot))
+        self.slots[slot[1:][slot[1:] == slot[:-1]]] = -2
         # Sums of the words that are left to the units by ending.
         rest = counts.groupBy("unit").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).toPandas()
         self.unit_n, self.unit_v = np.zeros(UNITS), np.zeros(UNITS)
@@ -84,8 +95,13 @@ class Vocabulary:
         """Whether each word is among the known ones, and its place there."""
         if not len(self.words):
             return np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return self.words[at] == hashes, at
+        at = self.slots[hashes >> U(64 - SLOT)]
+        shared = np.flatnonzero(at == -2)
+        if len(shared):
+            at[shared] = np.minimum(np.searchsorted(self.words, hashes[shared]), len(self.words) - 1)
+        known = at >= 0
+        known[known] = self.words[at[known]] == hashes[known]
+        return known, np.where(known, at, 0)
 
     def units(self, words: Words, ending: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Units of all tokens, each row's end included; their counts, -1 where those must be joined; each row's number of tokens."""
@@ -253,7 +269,7 @@ class Scorer:
         self.log_unit = np.log10(n / in_class[of])
 
     def rows(self, words: Words, ending: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Per row: tokens; how many are known, and base score, of the known words and the end; model score without the other words' shares in their units."""
+        """Per row: tokens; how many are known, and base score, of the known words and the end; model score without the other words' shares in their units. Then the places of those other words."""
         v = self.vocabulary
         units, count, counts = v.units(words, ending)
         before = _before(units, counts)
@@ -268,7 +284,8 @@ class Scorer:
         base = np.where(known, v.base(np.maximum(count, 0)), 0.0)
         ends = np.cumsum(counts)
         add = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], ends])])
-        return counts, add((count > 0).astype(np.int64)), add(base), add(log)
+        other = np.flatnonzero(~np.delete(known, ends - 1))
+        return counts, add((count > 0).astype(np.int64)), add(base), add(log), other
 
 
 def fit(training: DataFrame) -> tuple[Scorer, DataFrame]:
@@ -300,46 +317,44 @@ def scored(documents: DataFrame, scorer: Scorer, counts: DataFrame) -> DataFrame
     shared = spark.sparkContext.broadcast(scorer)
     docs = documents.select("doc_id", "text")
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = shared.value
-        for batch in batches:
-            for words, ending in _tokens(batch.column("text")):
-                ids = batch.column("doc_id").slice(words.low, words.high - words.low)
-                n, known, base, log = scorer.rows(words, ending)
-                yield pa.RecordBatch.from_arrays([ids, _row_key(words), pa.array(n.astype(np.int64)), pa.array(known), pa.array(base), pa.array(log)], ["doc_id", "row", "n_tokens", "known", "base", "log"])
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of words whose counts must be joined, and HEAD rows: unit -1 has a row's tokens and base score, -2 its known tokens and score, of all but those words."""
         scorer = shared.value
         for batch in batches:
             for words, ending in _tokens(batch.column("text")):
-                known, _ = scorer.vocabulary.find(words.hashes)
-                row = np.repeat(np.arange(len(words.counts)), words.counts)[~known]
+                n, known, base, log, other = scorer.rows(words, ending)
                 keys = _row_key(words).to_numpy()
-                pair = mix(words.hashes[~known], 3) + mix(row.astype(U), 4)
-                _, first, n = np.unique(pair, return_index=True, return_counts=True)
-                ids = batch.column("doc_id").slice(words.low, words.high - words.low).take(pa.array(row[first]))
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(keys[row[first]]), pa.array(words.hashes[~known][first].view(np.int64)), pa.array(ending[~known][first].astype(np.int32)), pa.array(n.astype(np.int32))], ["doc_id", "row", "word", "unit", "tf"]
-                )
+                row, word, unit = np.repeat(np.arange(len(n)), words.counts)[other], words.hashes[other], ending[other]
+                _, first, tf = np.unique(mix(word, 3) + mix(row.astype(U), 4), return_index=True, return_counts=True)
+                # A head's word is its row's own, so that heads are dealt evenly; it is no word's fingerprint, but for chance.
+                every = np.arange(len(n))
+                rows = np.concatenate([every, every, row[first]])
+                ids = batch.column("doc_id").slice(words.low, len(n)).take(pa.array(rows))
+                out = [
+                    keys[rows], np.concatenate([mix(keys.view(U), 11), mix(keys.view(U), 12), word[first]]).view(np.int64),
+                    np.concatenate([np.full(len(n), -1), np.full(len(n), -2), unit[first]]).astype(np.int32), np.concatenate([n, known, tf]), np.concatenate([base, log, np.zeros(len(first))]),
+                ]
+                yield pa.RecordBatch.from_arrays([ids, *map(pa.array, out)], ["doc_id", "row", "word", "unit", "tf", "sum"])
 
     v = scorer.vocabulary
     units = F.array(*(F.lit(float(x)) for x in scorer.unit_total[FREQUENT : FREQUENT + ENDINGS]))
-    c = F.coalesce(F.col("n"), F.lit(0))
-    tail = docs.mapInArrow(rare, "doc_id long, row long, word long, unit int, tf int").join(counts.select("word", "n"), "word", "left")
-    tail = tail.groupBy("doc_id", "row").agg(
-        F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("rare_known"),
-        F.sum(F.col("tf") * F.log10((c + 0.5) / F.lit(v.n + 0.5 * (v.v + 1)))).alias("rare_base"),
-        F.sum(F.col("tf") * F.log10((c + 0.5) / F.get(units, F.col("unit") - FREQUENT))).alias("rare_log"),
+    c, tf = F.coalesce(F.col("n"), F.lit(0)), F.col("tf")
+    head = lambda unit, x: F.sum(F.when(F.col("unit") == unit, F.col(x)))
+    tail = lambda x: F.coalesce(F.sum(F.when(F.col("unit") >= 0, x)), F.lit(0))
+    parts = docs.mapInArrow(run, "doc_id long, row long, word long, unit int, tf long, sum double").join(counts.select("word", "n"), "word", "left")
+    # Equal rows of one doc_id are summed together: each gets its part.
+    out = parts.groupBy("doc_id", "row").agg(
+        F.count(F.when(F.col("unit") == -1, 1)).alias("copies"),
+        head(-1, "tf").alias("n_tokens"),
+        (head(-2, "tf") + tail(F.when(c > 0, tf).otherwise(0))).alias("n_known"),
+        (head(-1, "sum") + tail(tf * F.log10((c + 0.5) / F.lit(v.n + 0.5 * (v.v + 1))))).alias("base"),
+        (head(-2, "sum") + tail(tf * F.log10((c + 0.5) / F.get(units, F.greatest(F.col("unit") - FREQUENT, F.lit(0)))))).alias("log"),
     )
-    # Equal rows of one doc_id met all their copies' words: one of them stands for each.
-    heads = docs.mapInArrow(whole, "doc_id long, row long, n_tokens long, known long, base double, log double")
-    copies = heads.groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("copies"), *(F.first(x).alias(x) for x in ("n_tokens", "known", "base", "log")))
-    out = copies.join(tail, (copies.doc_id.eqNullSafe(tail.doc_id)) & (copies.row == tail.row), "left").select(copies["*"], "rare_known", "rare_base", "rare_log")
-    part = lambda x: F.coalesce(F.col(x) / F.col("copies"), F.lit(0.0))
+    each = lambda x: F.col(x) / F.col("copies")
     out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return out.select(
-        "doc_id", "n_tokens", (F.col("known") + part("rare_known").cast("long")).alias("n_known"), F.lit(v.n).cast("long").alias("train_tokens"),
-        (F.col("base") + part("rare_base")).alias("base_score"), (F.col("log") + part("rare_log")).alias("score"),
+        "doc_id", each("n_tokens").cast("long").alias("n_tokens"), each("n_known").cast("long").alias("n_known"), F.lit(v.n).cast("long").alias("train_tokens"),
+        each("base").alias("base_score"), each("log").alias("score"),
     )
 
 
