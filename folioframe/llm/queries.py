@@ -31,7 +31,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import secret_scan as S
 
-    found, _ = S.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep=pinned)
+    # Documents arrive in two parts: the first one fills the ledger, against which all of them, those seen before included, are scanned.
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    _, ledger = S.scan(documents.where(F.crc32(F.col("doc_id").cast("string")) % 2 == 0), keep=pinned)
+    found, _ = S.scan(documents, pinned(ledger), keep=pinned)
     base = S.of_kinds(F.col("findings"), "assign", "access", "hex")
     n = lambda kind: F.size(S.of_kinds(F.col("findings"), kind)).cast("long").alias(f"n_{kind}")
     return found.select(

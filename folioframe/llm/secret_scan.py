@@ -5,15 +5,17 @@ one row per (blob, rule version) that was ever scanned, with its findings, none
 A run scans the blobs whose pair with the present rules is not in the ledger, appends
 them, and joins the findings back to all paths that hold the blob.
 
-Most blobs hold nothing that any rule could start from. A cheap JVM expression tells them
-apart, and only the others' texts are shuffled to become one row per blob: what is moved
-follows the secrets, not the corpus. A blob that a third of all paths share is reduced to
-one row per task before the shuffle, and its findings come back by an equi-join on the
-blob that adaptive execution can split.
+Most blobs hold nothing that any rule could start from. A cheap JVM expression, which runs
+once over the texts that a bounded filter takes for unseen, tells them apart, and only the
+others' texts are shuffled to become one row per blob: what is moved follows the secrets, not
+the corpus. A blob that a third of all paths share is reduced to one row per task before the
+shuffle. Findings come back by an equi-join on the blob that adaptive execution can split;
+paths whose blob a bounded filter of all blobs with findings rules out go around that join.
 
 Defined results: a null text is an empty blob; an empty or null blob has no findings; rows
-that repeat a path each get their blob's findings; further columns pass through, also
-those that are named like this module's own (they are renamed while it works).
+that repeat a path each get their blob's findings; an empty table gives no rows and leaves the
+ledger as it is; further columns pass through, also those that are named like this module's
+own work columns, but for columns named blob and findings, which are replaced.
 """
 
 from __future__ import annotations
@@ -38,8 +40,10 @@ RULES: dict[str, tuple[str, int, int]] = {
     "chat": (r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
     "url": (r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:[^\s/:@]{3,128}@", 0, 1),
 }
-#: What every match of some rule holds; for the JVM.
+#: What every match of some of RULES holds; for the JVM.
 NEEDED = r"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]|[0-9a-f]{24}|PRIVATE KEY-----|eyJ[A-Za-z0-9_-]{8}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-|://[^\s/:@]+:[^\s/:@]{3,}@"
+#: Bits of the filters of blobs that go to all executors: 1 MiB, whatever the input.
+FILTER_BITS = 23
 FINDINGS = "array<struct<kind:string,start:int,end:int>>"
 
 
@@ -68,40 +72,55 @@ def _scanner(rules: dict[str, tuple[str, int, int]]):
     return run
 
 
+def _slot(blob: str) -> str:
+    return f"(xxhash64({blob}) & {(1 << FILTER_BITS) - 1})"
+
+
+def _flagged(df: DataFrame, blob: str, blobs: DataFrame, flag: str) -> DataFrame:
+    """df with a flag that is true where its blob is among blobs, and by chance elsewhere."""
+    bits = blobs.selectExpr(f"shiftright({_slot('blob')}, 6) AS __word", f"shiftleft(1L, cast({_slot('blob')} & 63 AS int)) AS __bit").groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    held = df.withColumn("__word", F.expr(f"shiftright({_slot(blob)}, 6)")).join(F.broadcast(bits), "__word", "left")  # at most 2**17 rows
+    return held.withColumn(flag, F.expr(f"coalesce(shiftright(__bits, cast({_slot(blob)} & 63 AS int)) & 1 = 1, false)")).drop("__word", "__bits")
+
+
 def scan(
     files: DataFrame,
     ledger: DataFrame | None = None,
     rules: dict[str, tuple[str, int, int]] = RULES,
-    needed: str = NEEDED,
+    needed: str | None = None,
     keep: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> tuple[DataFrame, DataFrame]:
-    """(files with columns blob and findings, rows to append to the ledger).
+    """(files with columns blob and findings, rows (blob, rules, findings) to append to the ledger).
 
     files: a column text and any others. ledger: (blob, rules, findings) of earlier runs.
-    keep: what is done with the new ledger rows before they are joined back, say a
-    checkpoint or a write and a reread.
+    needed: a pattern that every text with a match of some rule holds; none is taken but for RULES.
+    keep: what is done with what is used several times, say a checkpoint or a write and a reread.
     """
     version = rule_version(rules)
-    blob = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    named = files.withColumn("__blob", blob).withColumn("__suspect", F.coalesce(F.col("text").rlike(needed), F.lit(False)))
-    # Unsuspected blobs go to the ledger as well, without findings; their texts stay where they are.
-    blobs = named.select(F.col("__blob").alias("blob"), F.when(F.col("__suspect"), F.col("text")).alias("text"))
+    needed = NEEDED if needed is None and rules == RULES else needed
+    # One struct of all columns, so that no name of theirs meets one of ours.
+    named = files.select(F.struct("*").alias("__row"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("__blob"))
+    text = F.col("__row")["text"]
+    unseen = named.select(F.col("__blob").alias("blob")).distinct()
+    told = named
+    if ledger is not None:
+        done = ledger.where(F.col("rules") == version)
+        unseen = keep(unseen.join(done.select("blob"), "blob", "left_anti"))
+        told = _flagged(named, "__blob", unseen, "__unseen").where("__unseen")
+    suspects = told.where(text.rlike(needed) if needed else text.isNotNull()).select(F.col("__blob").alias("blob"), text.alias("text"))
     if ledger is not None:
-        blobs = blobs.join(ledger.where(F.col("rules") == version).select("blob"), "blob", "left_anti")
-    suspects = blobs.where("text IS NOT NULL").dropDuplicates(["blob"])
-    scanned = keep(suspects.mapInArrow(_scanner(rules), f"blob string, findings {FINDINGS}"))
+        suspects = suspects.join(unseen, "blob", "left_semi")
+    scanned = keep(suspects.dropDuplicates(["blob"]).mapInArrow(_scanner(rules), f"blob string, findings {FINDINGS}"))
     none = F.array().cast(FINDINGS)
-    clean = blobs.where("text IS NULL").select("blob").distinct().select("blob", none.alias("findings"))
-    new = scanned.unionByName(clean).select("blob", F.lit(version).alias("rules"), "findings")
+    new = unseen.join(scanned, "blob", "left").select("blob", F.lit(version).alias("rules"), F.coalesce("findings", none).alias("findings"))
     hits = scanned.where("size(findings) > 0")
     if ledger is not None:
-        hits = hits.unionByName(ledger.where((F.col("rules") == version) & (F.size("findings") > 0)).select("blob", "findings"))
+        hits = hits.unionByName(done.where(F.size("findings") > 0).select("blob", "findings").dropDuplicates(["blob"]))
+    split = _flagged(named, "__blob", hits, "__held")
     hits = hits.select(F.col("blob").alias("__blob"), F.col("findings").alias("__findings"))
-    # Only suspect rows look anything up; the others go around the join.
-    looked = named.where("__suspect").join(hits, "__blob", "left").withColumn("__findings", F.coalesce("__findings", none))
-    rest = named.where("NOT __suspect").withColumn("__findings", none)
-    out = rest.unionByName(looked)
-    own = [c for c in files.columns if c not in ("blob", "findings")]
+    looked = split.where("__held").join(hits, "__blob", "left").withColumn("__findings", F.coalesce("__findings", none))
+    out = split.where("NOT __held").withColumn("__findings", none).unionByName(looked)
+    own = [F.col("__row")[c].alias(c) for c in files.columns if c not in ("blob", "findings")]
     return out.select(*own, F.col("__blob").alias("blob"), F.col("__findings").alias("findings")), new
 
 
