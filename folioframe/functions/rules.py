@@ -87,3 +87,18 @@ REVIEW_STEPS = [
 ]
 ACCEPTED_EXTENSIONS = ["txt", "docx", "doc", "pdf", "xlsx", "xls"]
 MAX_CHUNK_TOKENS, VECTOR_SIZE, TOP_KEYWORDS = 180, 128, 20
+#: Reasons that the rankings of documents and of templates give, and those of authority and of relations.
+RANKING_A = {"type": "Cung loai van ban", "internal": "Uu tien van ban noi bo Ban Xay dung Dang", "words": "Trung tu khoa: ", "none": "Mẫu trong kho văn bản"}
+RANKING_B = {"type": "Cùng loại văn bản", "field": "Cùng lĩnh vực", "words": "Trùng từ khóa: ", "ready": "Đã phân tích bố cục", "none": "Mẫu sẵn có trong kho"}
+ANALYSED = "Đã phân tích"
+AUTHORITY_REASONS = {
+    "central": "Cơ quan cấp trung ương", "internal": "Văn bản nội bộ Ban Xây dựng Đảng", "party_committee": "Cơ quan Đảng cấp ủy",
+    "normative": "Loại văn bản có tính quy định", "known_agency": "Có cơ quan ban hành", "unknown": "Thiếu cơ quan ban hành",
+}
+RELATION_REASONS = {
+    "references": "Trùng số/ký hiệu văn bản", "reports": "Báo cáo cùng lĩnh vực với văn bản triển khai",
+    "implements": "Văn bản triển khai liên hệ văn bản quy định/quyết định", "related": "Cùng lĩnh vực",
+}
+LIBRARY_STATUSES = ["new", "indexed", "failed", "need_ocr", "need_review", "duplicate", "unsupported", "deleted"]
+TEMPLATE_EXTENSIONS = [".doc", ".docx", ".pdf"]
+MAX_TEMPLATE_BYTES = 50 * 1024 * 1024

@@ -58,6 +58,16 @@ def relation_type(shared: Column, ranks: dict[str, int] = R.TYPE_RANKS) -> Colum
     )
 
 
+def value_members(values: DataFrame) -> DataFrame:
+    """(doc_id, v, n_documents): the values that documents hold, once each, and how many hold them.
+
+    Two documents share v if both have a row of it: all links of `shared_values`, in as many
+    rows as there are values. A value that a third of all documents hold is summed per task first.
+    """
+    index = values.select("doc_id", F.lower("entity_value").alias("v")).distinct()
+    return index.join(index.groupBy("v").agg(F.count(F.lit(1)).alias("n_documents")), "v").select("doc_id", "v", "n_documents")
+
+
 def shared_values(values: DataFrame, max_document_frequency: int | None = None) -> DataFrame:
     """(a, b, shared, evidence) for a < b: pairs of documents that share an entity value.
 

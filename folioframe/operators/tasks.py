@@ -10,13 +10,14 @@ from folioframe.functions.text import ascii_like
 
 PENDING, DOING, WAITING, DONE, ALL = "Chưa thực hiện", "Đang thực hiện", "Chờ duyệt", "Hoàn thành", "Tất cả"
 DISPLAY_COLUMNS = ["id", "title", "work_code", "assigned_to", "deadline", "priority", "status", "progress", "workspace_name", "field", "point"]
-#: Rows up to which a dimension is sent to all executors; larger ones are shuffled.
-DIMENSION_ROWS = 200_000
+#: Rows and characters (as JSON) up to which a dimension is sent to all executors; larger ones are shuffled.
+DIMENSION_ROWS, DIMENSION_CHARS = 200_000, 64_000_000
 
 
 def dimension(df: DataFrame) -> DataFrame:
     """df, marked for broadcast where a look at its rows shows that it is small."""
-    return F.broadcast(df) if df.limit(DIMENSION_ROWS + 1).count() <= DIMENSION_ROWS else df
+    seen = df.limit(DIMENSION_ROWS + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0)).alias("chars")).first()
+    return F.broadcast(df) if seen["n"] <= DIMENSION_ROWS and seen["chars"] <= DIMENSION_CHARS else df
 
 
 def with_dimensions(tasks: DataFrame, staff: DataFrame, work_codes: DataFrame, workspaces: DataFrame) -> DataFrame:

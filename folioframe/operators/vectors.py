@@ -40,19 +40,20 @@ def hash_embedding(texts: DataFrame, key: str = "chunk_id", size: int = R.VECTOR
 
 
 Backend = Callable[[DataFrame], DataFrame]
-#: Embedding backends by name: (key, text) -> (key, vector).
-BACKENDS: dict[str, Backend] = {"hash": lambda df: hash_embedding(df, "key")}
+#: Embedding backends by name: (key, text) -> (key, vector), and the vectors' size.
+BACKENDS: dict[str, tuple[Backend, int]] = {"hash": (lambda df: hash_embedding(df, "key"), R.VECTOR_SIZE)}
 
 
-def register_backend(name: str, backend: Backend) -> None:
-    BACKENDS[name] = backend
+def register_backend(name: str, backend: Backend, size: int) -> None:
+    BACKENDS[name] = backend, size
 
 
 def embedded(chunks: DataFrame, cache: DataFrame, backend: str = "hash", version: str = "v1") -> tuple[DataFrame, DataFrame]:
-    """(chunks with vector, rows to add to the cache (key, vector)): only distinct texts that the cache lacks are embedded."""
-    keyed = chunks.withColumn("key", X.embedding_key(f"{version}:{backend}", F.col("source_checksum"), F.col("text")))
+    """(chunks with vector, rows to add to the cache (key, vector)): only distinct texts that the cache lacks are embedded. A key is of the version, the backend and its size."""
+    embed, size = BACKENDS[backend]
+    keyed = chunks.withColumn("key", X.embedding_key(f"{version}:{backend}:{size}", F.col("source_checksum"), F.col("text")))
     misses = keyed.select("key", "text").dropDuplicates(["key"]).join(cache.select("key"), "key", "left_anti")
-    fresh = BACKENDS[backend](misses)
+    fresh = embed(misses)
     return keyed.join(cache.select("key", "vector").unionByName(fresh.select("key", "vector")), "key", "left"), fresh
 
 

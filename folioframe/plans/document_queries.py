@@ -25,15 +25,17 @@ STATUSES = [("src0", "indexed"), ("src1", "failed"), ("src2", "duplicate"), ("sr
 
 def catalogue(spark: SparkSession, d: str) -> DataFrame:
     status = F.coalesce(*(F.when(F.col("source") == s, v) for s, v in STATUSES), F.lit("need_review"))
+    word = lambda i: F.get(F.split("text", " "), F.lit(i))
+    keywords = F.concat_ws(" ,, ", word(0), word(3), word(1), F.lit("a"))  # with blanks and empty ones among them
     return table(spark, d, "documents").select(
         F.col("doc_id").alias("id"), "doc_id", F.substring_index("text", ".", 1).alias("title"), F.concat("doc_id", F.lit(".txt")).alias("file_name"), F.concat("source", F.lit("/"), "doc_id", F.lit(".txt")).alias("file_path"),
         F.lit("txt").alias("file_ext"), F.sha2("text", 256).alias("checksum"), F.col("lang").alias("document_type"), F.concat("source", F.lit("-"), "n_chars").alias("document_number"), F.col("source").alias("issuing_agency"),
-        F.col("lang").alias("field"), F.lit("").alias("summary"), F.lit("a, b ,,c").alias("keywords"), status.alias("status"), F.col("doc_id").alias("updated_at"), "text", "n_chars",
+        F.col("lang").alias("field"), F.lit("").alias("summary"), keywords.alias("keywords"), status.alias("status"), F.col("doc_id").alias("updated_at"), "text", "n_chars",
     )
 
 
 CAT = """cat AS (SELECT doc_id AS id, doc_id, split_part(text, '.', 1) AS title, doc_id || '.txt' AS file_name, source || '/' || doc_id || '.txt' AS file_path, sha256(text) AS checksum, lang AS document_type, source || '-' || n_chars AS document_number,
-  source AS issuing_agency, lang AS field, CASE source WHEN 'src0' THEN 'indexed' WHEN 'src1' THEN 'failed' WHEN 'src2' THEN 'duplicate' WHEN 'src3' THEN 'deleted' WHEN 'src4' THEN 'new' ELSE 'need_review' END AS status, text, n_chars FROM documents)"""
+  source AS issuing_agency, lang AS field, concat_ws(' ,, ', string_split(text, ' ')[1], string_split(text, ' ')[4], string_split(text, ' ')[2], 'a') AS keywords, CASE source WHEN 'src0' THEN 'indexed' WHEN 'src1' THEN 'failed' WHEN 'src2' THEN 'duplicate' WHEN 'src3' THEN 'deleted' WHEN 'src4' THEN 'new' ELSE 'need_review' END AS status, text, n_chars FROM documents)"""
 
 
 @query("a2_checksums", "SELECT doc_id, sha256(text) AS checksum FROM documents")
@@ -55,11 +57,13 @@ def _(spark, d):
     return _scan(spark, d)
 
 
-@query("a4_scan_report", f"WITH {CAT}, {_OLD} SELECT count(*) AS total, count(*) AS accepted, 0 AS ignored, 0 AS unsupported, count(*) FILTER (old.file_path IS NULL) AS new, count(*) FILTER (old.checksum <> cat.checksum) AS changed, count(*) FILTER (old.checksum = cat.checksum) AS existing FROM cat LEFT JOIN old USING (file_path)")
+@query("a4_scan_report", f"""WITH {CAT}, {_OLD}, x AS (SELECT CASE WHEN cat.file_path LIKE 'src9/%' THEN 'ignored' WHEN cat.file_path LIKE 'src8/%' THEN 'unsupported' ELSE 'accepted' END AS class, cat.checksum AS now, old.checksum AS was, old.file_path AS p FROM cat LEFT JOIN old USING (file_path))
+  SELECT count(*) AS total, count(*) FILTER (class = 'accepted') AS accepted, count(*) FILTER (class = 'ignored') AS ignored, count(*) FILTER (class = 'unsupported') AS unsupported, count(*) FILTER (p IS NULL) AS new, count(*) FILTER (was <> now) AS changed, count(*) FILTER (was = now) AS existing FROM x""")
 def _(spark, d):
     from folioframe.sources.files import scan_report
 
-    return scan_report(_scan(spark, d).withColumn("scan_class", F.lit("accepted")))
+    kind = F.when(F.startswith("path", F.lit("src9/")), "ignored").when(F.startswith("path", F.lit("src8/")), "unsupported").otherwise("accepted")
+    return scan_report(_scan(spark, d).withColumn("scan_class", kind))
 
 
 @query("a7_catalogue_upsert", f"""WITH {CAT}, o AS (SELECT file_path, title, status FROM cat WHERE field <> 'es'), n AS (SELECT file_path, CASE WHEN field = 'fr' THEN NULL ELSE 'new ' || title END AS title, 'indexed' AS status, checksum FROM cat WHERE field <> 'de')
@@ -139,9 +143,9 @@ def _(spark, d):
     return C.knowledge_rows(catalogue(spark, d).withColumn("signer", F.lit(None).cast("string"))).drop("metadata_json")
 
 
-@query("b1_catalogue_search", f"WITH {CAT} SELECT id, title, status FROM cat WHERE field = 'en' AND status = 'need_review' AND (title ILIKE '%the%' OR file_name ILIKE '%the%' OR document_number ILIKE '%the%') ORDER BY id DESC LIMIT 500")
+@query("b1_catalogue_search", f"WITH {CAT} SELECT id, title, status FROM cat WHERE field = 'en' AND status = 'need_review' AND (title ILIKE '%the%' OR file_name ILIKE '%the%' OR document_number ILIKE '%the%' OR keywords ILIKE '%the%') ORDER BY id DESC LIMIT 500")
 def _(spark, d):
-    return C.search(catalogue(spark, d).withColumn("keywords", F.lit("")), field="en", status="need_review", keyword="the").select("id", "title", "status")
+    return C.search(catalogue(spark, d), field="en", status="need_review", keyword="the").select("id", "title", "status")
 
 
 @query("b2_year_filter", "SELECT o_orderkey AS id FROM orders WHERE year(o_orderdate) = 1997 ORDER BY o_orderkey DESC LIMIT 500")
@@ -156,19 +160,32 @@ def _(spark, d):
     return C.corrected(c, c.where("n_chars < 500").select("id", F.concat(F.lit("checked "), "title").alias("title"))).select("id", "title", "status")
 
 
-@query("f27_keyword_weights", "SELECT doc_id AS id, unnest(['a', 'b', 'c']) AS keyword, unnest([10.0, 9.0, 7.0]) AS weight FROM documents")
+_WEIGHTS = """SELECT id, trim(k) AS keyword, max(greatest(1, 10 - p))::DOUBLE AS weight FROM (SELECT id, unnest(string_split(keywords, ',')) AS k, generate_subscripts(string_split(keywords, ','), 1) - 1 AS p FROM {}) WHERE trim(k) <> '' GROUP BY 1, 2"""
+
+
+@query("f27_keyword_weights", f"WITH {CAT} {_WEIGHTS.format('cat')}")
 def _(spark, d):
     return C.keyword_weights(catalogue(spark, d))
 
 
+@query("b18_corrected_keywords", f"WITH {CAT}, fixed AS (SELECT id, CASE WHEN n_chars < 500 THEN 'checked, ' || keywords ELSE keywords END AS keywords FROM cat) {_WEIGHTS.format('fixed')}")
+def _(spark, d):
+    """Keywords are derived again from what a correction has left."""
+    c = catalogue(spark, d)
+    return C.keyword_weights(C.corrected(c, c.where("n_chars < 500").select("id", F.concat(F.lit("checked, "), "keywords").alias("keywords"))))
+
+
 @query("d3_counts_by_status", f"WITH {CAT} SELECT status, count(*) AS n FROM cat GROUP BY 1")
 def _(spark, d):
     return C.counts_by(catalogue(spark, d), "status")
 
 
-@query("d4_filter_values", f"WITH {CAT} SELECT DISTINCT 'status' AS name, status AS value FROM cat UNION ALL SELECT DISTINCT 'field', field FROM cat UNION ALL SELECT DISTINCT 'issuing_agency', issuing_agency FROM cat")
+FILTERS = ["status", "file_ext", "document_type", "field", "issuing_agency"]
+
+
+@query("d4_filter_values", f"WITH {CAT}, c AS (SELECT *, 'txt' AS file_ext FROM cat) " + " UNION ALL ".join(f"SELECT DISTINCT '{c}' AS name, {c} AS value FROM c" for c in FILTERS))
 def _(spark, d):
-    return C.filter_values(catalogue(spark, d), ["status", "field", "issuing_agency"])
+    return C.filter_values(catalogue(spark, d), FILTERS)
 
 
 @query("d10_catalogue_tiles", f"WITH {CAT} SELECT count(*) AS total, count(*) FILTER (status IN ('need_review', 'indexed')) AS indexed, count(*) FILTER (status = 'new') AS new, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'duplicate') AS duplicate FROM cat")
@@ -251,7 +268,7 @@ def _(spark, d):
     return S.analysed_templates(table(spark, d, "documents").select("doc_id", F.col("source").alias("name"), "text"))
 
 
-VALUES = f"{KEYS}, vals AS (SELECT DISTINCT doc_id, keyword AS v FROM keys), few AS (SELECT v FROM vals GROUP BY v HAVING count(*) <= 40), idx AS (SELECT doc_id, v FROM vals JOIN few USING (v))"
+VALUES = f"{KEYS}, vals AS (SELECT DISTINCT doc_id, keyword AS v FROM keys), idx AS (SELECT doc_id, v FROM vals)"
 PAIRS = f"{VALUES}, pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared, array_to_string(list_sort(list(v))[1:8], ', ') AS evidence FROM idx a JOIN idx b USING (v) WHERE a.doc_id < b.doc_id GROUP BY 1, 2)"
 
 
@@ -271,7 +288,13 @@ def _all_values(spark, d):
 
 @query("c7_shared_values", f"WITH {PAIRS} SELECT * FROM pairs")
 def _(spark, d):
-    return K.shared_values(_values(spark, d), max_document_frequency=40)
+    return K.shared_values(_values(spark, d))
+
+
+@query("c7_value_members", f"WITH {VALUES} SELECT doc_id, v, count(*) OVER (PARTITION BY v) AS n_documents FROM idx")
+def _(spark, d):
+    """The same links as c7_shared_values by classes: every value that a document holds, and how many hold it."""
+    return K.value_members(_values(spark, d))
 
 
 @query("c7_all_shared_values")
@@ -301,7 +324,7 @@ def _typed(spark, d):
   SELECT fw.s AS source_id, fw.t AS target_id, fw.kind AS relation_type, fw.weight, 1.0::DOUBLE AS confidence, false AS is_bidirectional, fw.evidence FROM fw WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.s = fw.s AND m.t = fw.t AND m.kind = fw.kind) UNION ALL SELECT s, t, kind, weight, round(conf, 6), true, evidence FROM m""")
 def _(spark, d):
     docs = _typed(spark, d).select("doc_id", "document_type", F.col("source").alias("field"))
-    return K.relations(docs, _values(spark, d), max_document_frequency=40).withColumn("confidence", F.round("confidence", 6))
+    return K.relations(docs, _values(spark, d)).withColumn("confidence", F.round("confidence", 6))
 
 
 @query("h1_h2_all_relations")
@@ -310,19 +333,28 @@ def _(spark, d):
     return K.relations(docs, _all_values(spark, d)).withColumn("confidence", F.round("confidence", 6))
 
 
-@query("h5_relations_v2", """WITH m AS (SELECT doc_id, source || '-' || n_chars AS no, source || lang AS f, CASE lang WHEN 'en' THEN 'bao_cao' WHEN 'fr' THEN 'ke_hoach' WHEN 'de' THEN 'quyet_dinh' ELSE 'cong_van' END AS t FROM documents),
-  r AS (SELECT x.doc_id AS s, y.doc_id AS g, CASE WHEN x.no = y.no THEN 1 WHEN x.t = 'bao_cao' AND y.t IN ('ke_hoach', 'cong_van') AND x.f = y.f THEN 2 WHEN x.t IN ('cong_van', 'ke_hoach') AND y.t IN ('quy_dinh', 'quyet_dinh') THEN 3 WHEN x.f = y.f THEN 4 END AS k FROM m x JOIN m y ON x.doc_id <> y.doc_id)
-  SELECT s AS source_id, g AS target_id, ['references', 'reports', 'implements', 'related'][k] AS relation_type, [0.92, 0.78, 0.72, 0.58][k]::DOUBLE AS confidence FROM r WHERE k IS NOT NULL""")
+_M2 = "m AS (SELECT doc_id, source || '-' || n_chars AS no, source || lang AS f, CASE lang WHEN 'en' THEN 'bao_cao' WHEN 'fr' THEN 'ke_hoach' WHEN 'de' THEN 'quyet_dinh' ELSE 'cong_van' END AS t FROM documents)"
+_R2 = f"""{_M2}, r AS (SELECT x.doc_id AS s, y.doc_id AS g, x.t AS st, y.t AS tt, x.f AS sf, y.f AS tf, CASE WHEN x.no = y.no THEN 1 WHEN x.t = 'bao_cao' AND y.t IN ('ke_hoach', 'cong_van') AND x.f = y.f THEN 2 WHEN x.t IN ('cong_van', 'ke_hoach') AND y.t IN ('quy_dinh', 'quyet_dinh') THEN 3 WHEN x.f = y.f THEN 4 END AS k FROM m x JOIN m y ON x.doc_id <> y.doc_id)"""
+
+
+@query("h5_relations_v2", f"""WITH {_R2} SELECT s AS source_id, g AS target_id, ['references', 'reports', 'implements', 'related'][k] AS relation_type, [0.92, 0.78, 0.72, 0.58][k]::DOUBLE AS weight, [0.92, 0.78, 0.72, 0.58][k]::DOUBLE AS confidence, 'forward' AS direction,
+  sha256(to_json({{'reason': ['Trùng số/ký hiệu văn bản', 'Báo cáo cùng lĩnh vực với văn bản triển khai', 'Văn bản triển khai liên hệ văn bản quy định/quyết định', 'Cùng lĩnh vực'][k], 'source_type': st, 'target_type': tt, 'source_field': sf, 'target_field': tf}})::VARCHAR) AS evidence_sha FROM r WHERE k IS NOT NULL""")
 def _(spark, d):
     m = _typed(spark, d)
-    return M.relations_v2(m.withColumn("normalized_type", M.normalized_type(F.col("document_type"))))
+    return M.relations_v2(m.withColumn("normalized_type", M.normalized_type(F.col("document_type")))).withColumn("evidence", F.sha2("evidence", 256)).withColumnRenamed("evidence", "evidence_sha")
+
+
+@query("h5_relation_classes", f"""WITH {_R2} SELECT ['references', 'reports', 'implements', 'related'][k] AS relation_type, CASE WHEN k <> 3 THEN sf END AS source_field, st AS source_type, CASE WHEN k <> 3 THEN tf END AS target_field, tt AS target_type, count(*) AS n_pairs FROM r WHERE k IS NOT NULL GROUP BY ALL""")
+def _(spark, d):
+    m = _typed(spark, d)
+    return M.relation_classes(m.withColumn("normalized_type", M.normalized_type(F.col("document_type"))))[0]
 
 
 @query("h5_relations_of_catalogue")
 def _(spark, d):
     """As h5_relations_v2, with the catalogue's own field, the language."""
     m = _typed(spark, d).drop("field").join(catalogue(spark, d).select("doc_id", "field"), "doc_id")
-    return M.relations_v2(m.withColumn("normalized_type", M.normalized_type(F.col("document_type"))))
+    return M.relations_v2(m.withColumn("normalized_type", M.normalized_type(F.col("document_type")))).drop("evidence")
 
 
 def _metadata(spark, d):
@@ -334,9 +366,10 @@ def _metadata(spark, d):
 
 @query("h6_metadata_rows", """SELECT doc_id, CASE lang WHEN 'en' THEN 'Đảng ủy ' || source WHEN 'fr' THEN NULL ELSE source END AS issuing_agency, CASE WHEN lang = 'de' THEN 'quyet_dinh' ELSE 'bao_cao' END AS normalized_type,
   CASE WHEN lang = 'en' THEN 'party_committee' WHEN lang = 'de' THEN 'normative' WHEN lang = 'fr' THEN 'unknown' ELSE 'known_agency' END AS authority_level, CASE WHEN lang = 'en' THEN 0.84 WHEN lang = 'de' THEN 0.78 WHEN lang = 'fr' THEN 0.2 ELSE 0.62 END::DOUBLE AS authority_score,
+  CASE WHEN lang = 'en' THEN 'Cơ quan Đảng cấp ủy' WHEN lang = 'de' THEN 'Loại văn bản có tính quy định' WHEN lang = 'fr' THEN 'Thiếu cơ quan ban hành' ELSE 'Có cơ quan ban hành' END AS authority_reason,
   CASE WHEN n_chars > 3000 THEN 'expired' WHEN n_chars > 2000 THEN 'pending' WHEN n_chars > 500 THEN 'valid' ELSE 'unknown' END AS validity FROM documents""")
 def _(spark, d):
-    return _metadata(spark, d).select("doc_id", "issuing_agency", "normalized_type", "authority_level", "authority_score", "validity")
+    return _metadata(spark, d).select("doc_id", "issuing_agency", "normalized_type", "authority_level", "authority_score", M.authority_reason(F.col("authority_level")).alias("authority_reason"), "validity")
 
 
 def requests(spark, d):
@@ -351,20 +384,40 @@ def _(spark, d):
     return D.classified(requests(spark, d), INTENTS)
 
 
-@query("h8_ranked_documents", r"""WITH q AS (SELECT conv_id * 1000 + turn AS request_id, list_distinct(regexp_extract_all(replace(strip_accents(lower(text)), 'đ', 'd'), '[0-9a-zA-Z]+')) AS w FROM conversations WHERE role = 'user'),
-  c AS (SELECT doc_id, lang, source, list_distinct(regexp_extract_all(replace(strip_accents(lower(split_part(text, '.', 1) || '  a, b ,,c ' || source || '-' || n_chars)), 'đ', 'd'), '[0-9a-zA-Z]+')) AS w, source NOT IN ('src1', 'src2', 'src3', 'src4') AS ready FROM documents),
-  s AS (SELECT request_id, doc_id, round(least((lang = 'en')::INT * 0.35 + least(len(list_intersect(q.w, c.w)) * 0.06, 0.3) + ready::INT * 0.1, 1.0), 4) AS score FROM q, c)
-  SELECT request_id, doc_id, score::DOUBLE AS score, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, doc_id)::INT AS rank FROM s WHERE score > 0 QUALIFY rank <= 5""")
+@query("h8_ranked_documents", rf"""WITH {CAT}, q AS (SELECT conv_id * 1000 + turn AS request_id, list_distinct(regexp_extract_all(replace(strip_accents(lower(text)), 'đ', 'd'), '[0-9a-zA-Z]+')) AS w FROM conversations WHERE role = 'user'),
+  c AS (SELECT doc_id, document_type, list_distinct(regexp_extract_all(replace(strip_accents(lower(concat_ws(' ', title, keywords, document_number))), 'đ', 'd'), '[0-9a-zA-Z]+')) AS w, status IN ('indexed', 'need_review') AS ready FROM cat),
+  s AS (SELECT request_id, doc_id, document_type = 'en' AS same, list_intersect(q.w, c.w) AS met, round(least((document_type = 'en')::INT * 0.35 + least(len(list_intersect(q.w, c.w)) * 0.06, 0.3) + ready::INT * 0.1, 1.0), 4) AS score FROM q, c),
+  t AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, doc_id DESC)::INT AS rank FROM s WHERE score > 0 QUALIFY rank <= 5)
+  SELECT request_id, doc_id, score::DOUBLE AS score, coalesce(nullif(concat_ws('; ', CASE WHEN same THEN 'Cung loai van ban' END, CASE WHEN len(met) > 0 THEN 'Trung tu khoa: ' || array_to_string(list_sort(met)[1:5], ', ') END), ''), 'Mẫu trong kho văn bản') AS reason, rank FROM t""")
 def _(spark, d):
-    return D.ranked_documents(requests(spark, d).withColumn("document_type", F.lit("EN")), catalogue(spark, d)).drop("reason")
+    return D.ranked_documents(requests(spark, d).withColumn("document_type", F.lit("EN")), catalogue(spark, d))
 
 
-@query("h9_ranked_templates", r"""WITH q AS (SELECT conv_id * 1000 + turn AS request_id, list_distinct(regexp_extract_all(lower(text), '[0-9A-Za-zÀ-ỹ]+')) AS w FROM conversations WHERE role = 'user'),
-  c AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text || ' letter'), '[0-9A-Za-zÀ-ỹ]+')) AS w FROM benchmark), s AS (SELECT request_id, item_id AS template_id, 35 + least(len(list_intersect(q.w, c.w)) * 8, 32) + 8 AS score FROM q, c)
-  SELECT request_id, template_id, least(score, 100)::INT AS score, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, template_id DESC)::INT AS rank FROM s QUALIFY rank <= 5""")
+@query("h9_ranked_templates", r"""WITH q AS (SELECT conv_id * 1000 + turn AS request_id, CASE WHEN turn % 3 = 0 THEN '' WHEN conv_id % 2 = 0 THEN 'letter' ELSE 'plan' END AS t, CASE WHEN turn % 2 = 0 THEN 'f1' ELSE '' END AS f, list_distinct(regexp_extract_all(lower(text), '[0-9A-Za-zÀ-ỹ]+')) AS w FROM conversations WHERE role = 'user'),
+  b AS (SELECT *, CASE WHEN length(text) % 2 = 0 THEN 'letter' ELSE 'plan' END AS t, 'f' || length(text) % 3 AS f, length(text) % 5 AS made, length(text) % 4 > 0 AS ready FROM benchmark),
+  c AS (SELECT item_id, t, f, made, ready, list_distinct(regexp_extract_all(lower(text || ' ' || t || ' ' || f), '[0-9A-Za-zÀ-ỹ]+')) AS w FROM b),
+  s AS (SELECT request_id, item_id AS template_id, made, q.t <> '' AS same_t, q.f <> '' AND q.f = c.f AS same_f, ready, list_intersect(q.w, c.w) AS met FROM q JOIN c ON q.t = '' OR q.t = c.t),
+  p AS (SELECT *, least(same_t::INT * 35 + same_f::INT * 25 + least(len(met) * 8, 32) + ready::INT * 8, 100)::INT AS score FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, made DESC, template_id DESC)::INT AS rank FROM p QUALIFY rank <= 5)
+  SELECT request_id, template_id, score, rank, coalesce(nullif(concat_ws('; ', CASE WHEN same_t THEN 'Cùng loại văn bản' END, CASE WHEN same_f THEN 'Cùng lĩnh vực' END, CASE WHEN len(met) > 0 THEN 'Trùng từ khóa: ' || array_to_string(list_sort(met)[1:5], ', ') END, CASE WHEN ready THEN 'Đã phân tích bố cục' END), ''), 'Mẫu sẵn có trong kho') AS reason FROM r""")
 def _(spark, d):
-    t = table(spark, d, "benchmark").select(F.col("item_id").alias("template_id"), F.col("text").alias("name"), F.lit("").alias("summary"), F.lit("").alias("keywords"), F.lit("letter").alias("document_type"), F.lit(None).cast("string").alias("field"), F.lit("Đã phân tích").alias("status"), F.col("item_id").alias("created_at"))
-    return D.ranked_templates(requests(spark, d).withColumns({"document_type": F.lit("letter"), "field": F.lit("")}), t)
+    n = F.length("text")
+    t = table(spark, d, "benchmark").select(
+        F.col("item_id").alias("template_id"), F.col("text").alias("name"), F.lit("").alias("summary"), F.lit("").alias("keywords"), F.when(n % 2 == 0, "letter").otherwise("plan").alias("document_type"), F.concat(F.lit("f"), n % 3).alias("field"),
+        F.when(n % 4 > 0, "Đã phân tích").otherwise("Mới nạp").alias("status"), (n % 5).alias("created_at"),
+    )
+    turn, conv = F.col("request_id") % 1000, F.floor(F.col("request_id") / 1000)
+    asked = requests(spark, d).withColumns({"document_type": F.when(turn % 3 == 0, "").when(conv % 2 == 0, "letter").otherwise("plan"), "field": F.when(turn % 2 == 0, "f1").otherwise("")})
+    return D.ranked_templates(asked, t)
+
+
+@query("h11_evidence", """WITH q AS (SELECT vec_id AS request_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT request_id, vec_id, round(list_dot_product(q, embedding::DOUBLE[]), 6) AS score FROM q, embeddings), t AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, vec_id)::INT AS rank FROM s QUALIFY rank <= 5),
+  l AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS library_id, source || '-' || n_chars AS number FROM documents) SELECT request_id, vec_id, rank, score, number, library_id FROM t LEFT JOIN l ON l.doc_id = vec_id""")
+def _(spark, d):
+    v, c = _vectors(spark, d), catalogue(spark, d)
+    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("request_id"), "vector")
+    chunks = v.select("vec_id", "vector", F.col("vec_id").alias("doc_id"), F.lit(1).alias("chunk_order"), F.lit("body").alias("section"), F.lit("").alias("text"))
+    out = D.evidence(asked.select("request_id"), asked, chunks, c, c)
+    return out.select("request_id", "vec_id", "rank", "score", F.col("citation.document_number").alias("number"), "library_id")
 
 
 @query("e3_latest_results", "SELECT conv_id AS request_id, max(turn) AS id FROM conversations GROUP BY 1")
@@ -402,15 +455,17 @@ def _(spark, d):
     return D.carried_over(c.where("role <> 'user'").select(F.col("conv_id").alias("request_id"), F.col("turn").alias("result_id")), cites)
 
 
-@query("c14_packages", "SELECT conv_id AS result_id, count(*) FILTER (role = 'user') AS n_citations, count(*) FILTER (role <> 'user') AS n_revisions FROM conversations GROUP BY 1")
+@query("c14_packages", """WITH u AS (SELECT conv_id, turn, role, (turn % 3)::DOUBLE AS score, text FROM conversations) SELECT conv_id AS result_id, any_value(text) FILTER (turn = 0) AS request_text, coalesce(string_agg(turn || role, ',' ORDER BY score DESC, turn) FILTER (role = 'user'), '') AS citations,
+  coalesce(string_agg(turn || role, ',' ORDER BY turn) FILTER (role <> 'user'), '') AS revisions FROM u GROUP BY 1""")
 def _(spark, d):
     c = table(spark, d, "conversations")
     results = c.groupBy(F.col("conv_id").alias("result_id")).agg(F.min("conv_id").alias("request_id"))
     reqs = c.where("turn = 0").select(F.col("conv_id").alias("request_id"), F.col("text").alias("request_text"))
-    cites = c.where("role = 'user'").select(F.col("conv_id").alias("result_id"), F.col("turn").alias("citation_id"), F.lit(1.0).alias("score"), F.col("role").alias("section"))
+    cites = c.where("role = 'user'").select(F.col("conv_id").alias("result_id"), F.col("turn").alias("citation_id"), (F.col("turn") % 3).cast("double").alias("score"), F.col("role").alias("section"))
     revs = c.where("role <> 'user'").select(F.col("conv_id").alias("result_id"), F.col("turn").alias("seq"), F.col("role").alias("status"))
-    n = lambda x: F.when(F.col(x).isNull(), 0).otherwise(F.size(x)).cast("long")
-    return D.packages(results, reqs, cites, revs).select("result_id", n("citations").alias("n_citations"), n("revisions").alias("n_revisions"))
+    joined = lambda x, f: F.coalesce(F.array_join(F.transform(x, f), ","), F.lit("")).alias(x)
+    out = D.packages(results, reqs, cites, revs)
+    return out.select("result_id", "request_text", joined("citations", lambda e: F.concat(e["citation_id"], e["section"])), joined("revisions", lambda e: F.concat(e["seq"], e["status"])))
 
 
 @query("f26_citation_lines", "WITH x AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) SELECT conv_id AS result_id, sha256(string_agg('[' || r || '] ' || text || ' (0.50)', chr(10) ORDER BY r) FILTER (r <= 10)) AS lines_sha FROM x GROUP BY 1")
@@ -437,12 +492,33 @@ def _(spark, d):
     return V.top_k(v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "vector"), v)
 
 
-@query("h14_cached_embedding", "SELECT lang, count(*) AS n_chunks, count(DISTINCT text) AS n_texts FROM documents GROUP BY 1")
+_PLACES = """WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[0-9A-Za-zÀ-ỹ]+')) AS w FROM documents), h AS (SELECT doc_id, ('0x' || substr(sha256(w), 1, 8))::BIGINT % {0} AS i, CASE WHEN ('0x' || substr(sha256(w), 9, 2))::BIGINT % 2 = 0 THEN 1 ELSE -1 END AS x FROM t),
+  v AS (SELECT doc_id, i, sum(x) AS x FROM h GROUP BY 1, 2 HAVING sum(x) <> 0), s AS (SELECT doc_id, count(*) AS n_places, sum(i * sign(x))::BIGINT AS signed_places FROM v GROUP BY 1) SELECT d.doc_id, lang, coalesce(n_places, 0) AS n_places, coalesce(signed_places, 0) AS signed_places FROM documents d LEFT JOIN s USING (doc_id)"""
+
+
+def _embedded(spark, d, backend: str) -> DataFrame:
+    chunks = table(spark, d, "documents").select("doc_id", "lang", "text", F.lit("").alias("source_checksum"))
+    cache, _ = V.embedded(chunks.where("lang <> 'en'"), spark.createDataFrame([], "key string, vector array<double>"), backend)
+    return V.embedded(chunks, cache.select("key", "vector").dropDuplicates(["key"]), backend)[0]
+
+
+def _places(df: DataFrame) -> DataFrame:
+    cells = df.select("doc_id", "lang", F.posexplode_outer(F.filter(F.transform("vector", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda e: e["x"] != 0)).alias("p", "e"))
+    return cells.groupBy("doc_id", "lang").agg(F.count("e").alias("n_places"), F.coalesce(F.sum((F.col("e.i") * F.signum("e.x")).cast("long")), F.lit(0)).alias("signed_places"))
+
+
+@query("h14_cached_embedding", _PLACES.format(128))
+def _(spark, d):
+    return _places(_embedded(spark, d, "hash"))
+
+
+@query("j1_other_backend", _PLACES.format(32))
 def _(spark, d):
+    """The same vectors by a backend of another size, which has keys of its own in a cache."""
+    V.register_backend("hash32", lambda df: V.hash_embedding(df, "key", 32), 32)
+    both = _embedded(spark, d, "hash").select("key", "vector").dropDuplicates(["key"])
     chunks = table(spark, d, "documents").select("doc_id", "lang", "text", F.lit("").alias("source_checksum"))
-    cache, _ = V.embedded(chunks.where("lang <> 'en'"), spark.createDataFrame([], "key string, vector array<double>"))
-    out, _ = V.embedded(chunks, cache.select("key", "vector").dropDuplicates(["key"]))
-    return out.where("vector IS NOT NULL").groupBy("lang").agg(F.count(F.lit(1)).alias("n_chunks"), F.countDistinct("key").alias("n_texts"))
+    return _places(V.embedded(chunks, both, "hash32")[0])
 
 
 @query("h12_h13_cited_hits", """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id, round(list_dot_product(q, embedding::DOUBLE[]), 6) AS score FROM q, embeddings), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s QUALIFY rank <= 5)
@@ -462,6 +538,13 @@ def _(spark, d):
     return edges.drop("confidence")
 
 
+@query("d11_graph_nodes", f"WITH {CAT} SELECT id, title AS label, document_type AS type, field FROM cat")
+def _(spark, d):
+    c = catalogue(spark, d)
+    nodes, _ = K.graph(c.drop("id"), c.limit(0).select(*(F.col("id").alias(x) for x in ("source_id", "target_id", "relation_type", "weight", "confidence"))))
+    return nodes
+
+
 @query("c4_titled_relations", "SELECT l_orderkey AS source_id, l_partkey AS target_id, a.p_name AS source_title, b.p_name AS target_title FROM lineitem LEFT JOIN part a ON a.p_partkey = l_orderkey LEFT JOIN part b ON b.p_partkey = l_partkey")
 def _(spark, d):
     docs = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"))

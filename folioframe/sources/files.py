@@ -13,16 +13,28 @@ from folioframe.functions import rules as R
 ENCODINGS = ["utf-8", "utf-8-sig", "cp1258", "cp1252"]
 
 
-def scan_folder(spark: SparkSession, root: str) -> DataFrame:
-    """(path, file_name, file_ext, modificationTime, length, content, scan_class): ignored before accepted or unsupported."""
-    name = F.element_at(F.split("path", "/"), -1)
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).withColumn("file_name", name)
+def classified(files: DataFrame) -> DataFrame:
+    """binaryFile rows with file_name, file_ext, scan_class: ignored before accepted or unsupported."""
+    df = files.withColumn("file_name", F.element_at(F.split("path", "/"), -1))
     low = F.lower("file_name")
     ext = F.regexp_extract(low, r"\.([^.]+)$", 1)
     ignored = F.startswith(low, F.lit("~$")) | (low == "desktop.ini") | ext.isin("tmp", "lock")
     return df.withColumn("file_ext", ext).withColumn("scan_class", F.when(ignored, "ignored").when(ext.isin(R.ACCEPTED_EXTENSIONS), "accepted").otherwise("unsupported"))
 
 
+def scan_folder(spark: SparkSession, root: str) -> DataFrame:
+    """(path, file_name, file_ext, modificationTime, length, content, scan_class) of every file below root."""
+    return classified(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root))
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df worked out once: in the folder of spark.checkpoint.dir, or cached where none is set."""
+    context, folder = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if context.getCheckpointDir() is None and folder:
+        context.setCheckpointDir(folder)
+    return df.checkpoint() if context.getCheckpointDir() else df.persist()
+
+
 def with_checksum(files: DataFrame) -> DataFrame:
     return files.withColumn("checksum", F.sha2("content", 256))
 
@@ -57,14 +69,18 @@ def scan_report(states: DataFrame) -> DataFrame:
     return states.agg(F.count(F.lit(1)).alias("total"), *(n("scan_class", v) for v in ("accepted", "ignored", "unsupported")), *(n("state", v) for v in ("new", "changed", "existing")))
 
 
-def index_folder(spark: SparkSession, root: str, catalogue: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(new catalogue, counts per status): scan, read, extract, find duplicates, overlay, mark missing files deleted."""
+def index_files(found: DataFrame, catalogue: DataFrame, read=decoded) -> tuple[DataFrame, DataFrame]:
+    """(new catalogue, states of the found files): accepted files (with content and checksum) are read where new or changed, their metadata extracted, copies marked, and all overlaid.
+
+    A file that has the checksum of another path is a row of its own with status duplicate.
+    read: files -> files with a struct read, as `decoded`.
+    """
     from folioframe.operators import catalog as C
     from folioframe.operators.structure import extracted_metadata
 
-    found = with_checksum(scan_folder(spark, root).where("scan_class = 'accepted'"))
     states = C.scan_states(found, catalogue)
-    fresh = decoded(states.where("state <> 'existing'"))
+    fresh = kept(read(states.where("state <> 'existing'")).drop("content"))
+    states = states.drop("content")
     meta = extracted_metadata(fresh.select(F.col("path").alias("doc_id"), "file_name", F.col("read.text").alias("text"))).withColumnRenamed("doc_id", "path")
     dup = C.duplicates(fresh.select("path", "checksum"), catalogue.select("id", "file_path", "checksum"))
     rows = fresh.select("path", "file_name", "file_ext", "checksum", F.col("length").alias("file_size"), F.col("read.status").alias("s")).join(meta, "path").join(dup.drop("checksum"), "path")
@@ -74,9 +90,16 @@ def index_folder(spark: SparkSession, root: str, catalogue: DataFrame) -> tuple[
         F.when(F.col("duplicate_of").isNotNull(), F.concat(F.lit("duplicate of "), F.col("duplicate_of").cast("string"))).otherwise(F.col("summary")).alias("summary"),
         F.array_join("keywords", ", ").alias("keywords"), "field", status.alias("status"),
     )
-    new = C.upsert(catalogue, rows, "file_path")
-    gone = C.missing(catalogue, found, root).select("file_path", F.lit("deleted").alias("status"))
     # A deleted file that is back, changed or not, lives again.
     back = states.where("state = 'existing'").select(F.col("path").alias("file_path")).join(catalogue.where("status = 'deleted'").select("file_path"), "file_path").withColumn("status", F.lit("need_review"))
-    new = C.upsert(C.upsert(new, gone, "file_path"), back, "file_path")
+    return C.upsert(C.upsert(catalogue, rows, "file_path"), back, "file_path"), states
+
+
+def index_folder(spark: SparkSession, root: str, catalogue: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(new catalogue, counts per status): scan, read, extract, find duplicates, overlay, mark missing files deleted."""
+    from folioframe.operators import catalog as C
+
+    new, states = index_files(with_checksum(scan_folder(spark, root).where("scan_class = 'accepted'")), catalogue)
+    gone = C.missing(catalogue, states, root).select("file_path", F.lit("deleted").alias("status"))
+    new = C.upsert(new, gone, "file_path")
     return new, C.counts_by(new, "status")

@@ -6,9 +6,10 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from folioframe.functions import rules as R
 from folioframe.operators.tasks import DOING, DONE
@@ -73,6 +74,51 @@ def activity(updates: DataFrame, width: str = "1 hour", delay: str = "1 hour") -
     return updates.withWatermark("ts", delay).groupBy(F.window("ts", width), "status").agg(F.count(F.lit(1)).alias("n"), F.avg("progress").alias("avg_progress"))
 
 
+def _in_batches(stream: DataFrame, index, checkpoint: str):
+    return stream.writeStream.foreachBatch(index).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def index_arrivals(documents: DataFrame, index, checkpoint: str):
-    """Starts a stream that hands each batch of new documents to index(batch, batch_id), once per checksum and batch."""
-    return documents.writeStream.foreachBatch(lambda df, i: index(df.dropDuplicates(["checksum"]), i)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Starts a stream that hands each batch of new documents to index(batch, batch_id), once per checksum and batch; `index_arriving_files` keeps copies, as duplicates."""
+    return _in_batches(documents, lambda df, i: index(df.dropDuplicates(["checksum"]), i), checkpoint)
+
+
+CATALOGUE = (
+    "id long, file_path string, file_name string, file_ext string, file_size long, checksum string, title string, document_type string, document_number string, issued_date date, "
+    "issuing_agency string, signer string, summary string, keywords string, field string, status string"
+)
+
+
+def catalogue_before(spark: SparkSession, folder: str, batch_id: int | None = None) -> DataFrame:
+    """The newest version of the catalogue in folder, of those before batch_id; none gives an empty one."""
+    hadoop, path = spark.sparkContext._jvm.org.apache.hadoop, None
+    root = hadoop.fs.Path(folder)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(root):
+        done = [p for p in (x.getPath() for x in files.listStatus(root)) if p.getName().startswith("v=") and files.exists(hadoop.fs.Path(p, "_SUCCESS"))]
+        versions = {int(p.getName()[2:]): p.toString() for p in done}
+        path = max(((v, p) for v, p in versions.items() if batch_id is None or v < batch_id), default=(None, None))[1]
+    return spark.read.schema(CATALOGUE).parquet(path) if path else spark.createDataFrame([], CATALOGUE)
+
+
+def index_arriving_files(spark: SparkSession, root: str, folder: str, checkpoint: str):
+    """Starts a stream that indexes files as they arrive below root: each batch makes version v=<batch id> of the catalogue in folder from the one before it.
+
+    A batch that is run again after a failure starts from the same version and overwrites its
+    own, so it is idempotent. A copy of a file that is known is a row of status duplicate. Ids
+    are hashes of the paths, so they don't depend on how files fall into batches.
+    """
+    from folioframe.sources import files as S
+
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    arriving = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).load(root)
+
+    def index(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        found = S.with_checksum(S.classified(batch).where("scan_class = 'accepted'"))
+        new, _ = S.index_files(found, catalogue_before(session, folder, batch_id))
+        fields = StructType.fromDDL(CATALOGUE)
+        rows = new.withColumn("id", F.coalesce("id", F.abs(F.xxhash64("file_path")))).select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in fields))
+        rows.write.mode("overwrite").parquet(f"{folder}/v={batch_id}")
+
+    return _in_batches(arriving, index, checkpoint)

@@ -99,3 +99,51 @@ def test_entry_works_without_the_optional_part(spark, monkeypatch):
     assert not [q for q in entry.queries() if q.startswith("op")] and set(entry.oracle_sql()) <= set(entry.queries())
     monkeypatch.undo()
     importlib.reload(__spark_entry__)
+
+
+def test_arriving_files(spark, tmp_path):
+    from folioframe.streaming.live import catalogue_before, index_arriving_files
+
+    root, folder = tmp_path / "in", f"file://{tmp_path}/catalogue"
+    root.mkdir()
+    run = lambda: index_arriving_files(spark, f"file://{root}", folder, f"file://{tmp_path}/checkpoint").awaitTermination()
+    (root / "a.txt").write_text("first text")
+    (root / "~$b.txt").write_text("ignored")
+    run()
+    (root / "copy.txt").write_text("first text")
+    (root / "c.txt").write_text("other text")
+    run()
+    rows = {r.file_name: r for r in catalogue_before(spark, folder).collect()}
+    assert {k: r.status for k, r in rows.items()} == {"a.txt": "need_review", "copy.txt": "duplicate", "c.txt": "need_review"}
+    assert str(rows["a.txt"].id) in rows["copy.txt"].summary
+    run()
+    assert catalogue_before(spark, folder).count() == 3 and catalogue_before(spark, folder, 1).count() == 1
+
+
+def test_lists_and_validation(spark):
+    from folioframe.operators import lists as L
+    from folioframe.operators import validation as V
+
+    rows = spark.createDataFrame([(1, "new", 5.0, 2), (2, "new", 7.0, 1), (3, "old", 7.0, 1)], "id long, status string, score double, request_id long")
+    rows = rows.selectExpr("*", "score AS updated_at", "score AS created_at", "'x' AS document_type", "id AS result_id", "'t' AS citation_type")
+    ids = lambda df: [r.id for r in df.collect()]
+    assert ids(L.draft_results(rows)) == [3, 2, 1] and ids(L.draft_results(rows, "new", 1)) == [2] and ids(L.templates(rows, "old")) == [3]
+    assert ids(L.citations(rows, request_id=1)) == [2, 3] and ids(L.citations(rows, request_id=0)) == [2, 3, 1]
+    with pytest.raises(ValueError):
+        L.draft_requests(rows, limit=0)
+    got = L.children(rows.select("id"), rows.select(F.col("request_id").alias("id"), "score", F.col("id").alias("child")), "id", ["child"], -F.col("score"), F.col("child")).collect()
+    assert {r.id: [c.child for c in r.children] for r in got} == {1: [2, 3], 2: [1], 3: []}
+    reasons = lambda df: [r.reject_reason for r in df.collect()]
+    uploads = spark.createDataFrame([("a.PDF", 1), ("a.txt", 1), ("a.doc", 0), ("a.docx", 50 * 1024 * 1024 + 1), ("pdf", 1)], "file_name string, length long")
+    assert reasons(V.uploads(uploads)) == [None, "unsupported extension", "empty file", "file too large", "unsupported extension"]
+    docs = spark.createDataFrame([(" ", "f.TXT", "/p", "TXT ", 1, "c", ""), ("t", " ", "/p", "txt", 1, "c", "new"), ("t", "f", "/p", "txt", -1, "c", "new"), ("t", "f", "/p", "txt", 1, None, "new"), ("t", "f", "/p", "txt", 1, "c", "odd")], "title string, file_name string, file_path string, file_ext string, file_size long, checksum string, status string")
+    out = V.library_documents(docs).collect()
+    assert [r.reject_reason for r in out] == [None, "file_name is required", "file_size is negative", "checksum is required", "unknown status"]
+    assert (out[0].title, out[0].status, out[0].file_ext) == ("f.TXT", "new", "txt")
+    relations = spark.createDataFrame([(1, 2, "r"), (0, 2, "r"), (1, -1, "r"), (3, 3, "r"), (None, 3, " ")], "source_id long, target_id long, relation_type string")
+    assert reasons(V.relations(relations)) == [None, "source_id is not positive", "target_id is not positive", "a document is related to itself", "relation_type is required"]
+    templates = spark.createDataFrame([("n", "/a/b.DOCX", "", 1), ("n", "/a/b.txt", None, 1), ("n", "", "pdf", -1), (" ", "/a.d/b", "", 1)], "name string, source_path string, file_ext string, file_size long")
+    out = V.templates(templates).collect()
+    assert [(r.reject_reason, r.is_ready) for r in out] == [(None, True), ("unsupported extension", False), ("file_size is negative", False), (None, False)]
+    entities = spark.createDataFrame([("t", "v", 1.0), ("", "v", 1.0), ("t", None, 1.0), ("t", "v", 0.0)], "entity_type string, entity_value string, weight double")
+    assert reasons(V.entities(entities)) == [None, "entity_type is required", "entity_value is required", "weight is not positive"]
