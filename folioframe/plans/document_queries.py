@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioframe.functions import rules as R
 from folioframe.functions import text as X
 from folioframe.operators import catalog as C
 from folioframe.operators import drafting as D
@@ -258,7 +259,10 @@ def _(spark, d):
     return S.extracted_metadata(docs, fields=FIELDS)
 
 
-@query("g5_template_sections")
+@query("g5_template_sections", f"""WITH {LINES}, k AS (SELECT doc_id, line, ln, CASE WHEN contains(lower(line), 'licensed') THEN 'Licence' WHEN contains(line, '|') THEN 'Table' WHEN line = upper(line) AND line <> lower(line) AND length(line) <= 120 THEN 'Tiêu đề' END AS kind FROM lines),
+  g AS (SELECT *, count(kind) OVER (PARTITION BY doc_id ORDER BY ln) AS grp FROM k), p AS (SELECT doc_id, grp, coalesce(any_value(kind), 'Mở đầu') AS section_type, coalesce(any_value(left(line, 120)) FILTER (kind IS NOT NULL), 'Mở đầu') AS title, coalesce(string_agg(line, chr(10) ORDER BY ln) FILTER (kind IS NULL), '') AS content, count(*) FILTER (kind IS NULL) AS n FROM g GROUP BY 1, 2),
+  q AS (SELECT *, max(n) OVER (PARTITION BY doc_id) AS most, max(grp) OVER (PARTITION BY doc_id) AS last FROM p UNION ALL SELECT doc_id, 0, 'Mở đầu', 'Mở đầu', '', 0, 0, 0 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM lines))
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY grp)::INT AS section_order, section_type, title, content FROM q WHERE n > 0 OR (most = 0 AND grp = last) QUALIFY section_order <= 20""")
 def _(spark, d):
     return S.template_sections(table(spark, d, "documents"), [("Licensed", "Licence"), ("|", "Table")])
 
@@ -303,7 +307,15 @@ def _(spark, d):
     return K.shared_values(_all_values(spark, d))
 
 
-@query("g4_entities")
+_STOP = ", ".join(f"'{w}'" for w in R.KNOWLEDGE_STOPWORDS)
+_NUMBERS = r"regexp_extract_all(text, '\b\d{1,4}[-/][A-Za-zÀ-ỹ0-9./-]+')"
+
+
+@query("g4_entities", f"""WITH {CAT}, tok AS (SELECT doc_id, unnest({WORDS}) AS w, generate_subscripts({WORDS}, 1) AS pos FROM documents), cnt AS (SELECT doc_id, w, count(*) AS n, min(pos) AS f FROM tok WHERE length(w) >= 3 AND w NOT IN ({_STOP}) GROUP BY 1, 2),
+  keys AS (SELECT doc_id, w, least(n + 1, 10)::DOUBLE AS weight FROM cnt QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f) <= 20),
+  e AS (SELECT doc_id, 0 AS pos, 'document_type' AS entity_type, document_type AS entity_value, 8.0::DOUBLE AS weight FROM cat UNION ALL SELECT doc_id, 1, 'document_number', document_number, 10.0 FROM cat UNION ALL SELECT doc_id, 2, 'agency', issuing_agency, 8.0 FROM cat UNION ALL SELECT doc_id, 4, 'field', field, 7.0 FROM cat
+    UNION ALL SELECT doc_id, 5, 'keyword', w, weight FROM keys UNION ALL SELECT doc_id, 6 + generate_subscripts({_NUMBERS}, 1), 'reference_number', unnest({_NUMBERS}), 5.0 FROM documents)
+  SELECT doc_id, entity_type, min_by(entity_value, pos) AS entity_value, max(weight) AS weight FROM e GROUP BY doc_id, entity_type, lower(entity_value)""")
 def _(spark, d):
     return _entities(spark, d)
 
