@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; one of our own only where none is set (tests)."""
+    """The shared folder of the session; one of our own only where none is set and all runs on this machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="folioframe-"))
-    return found or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not found and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="folioframe-"))
+    return found or context.getCheckpointDir()
 
 
 def pinned(df: DataFrame) -> DataFrame:
@@ -24,6 +28,13 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as Parquet in the shared folder, read again."""
+    place = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
 def shipped(spark: SparkSession) -> SparkSession:
     """spark, with this package's folder on the Python path of its workers."""
     home, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment

@@ -12,7 +12,9 @@ Work is remembered per pair of tokens and per blank-separated word, in bounded m
 each Python worker; a memo that is full starts anew and changes no result.
 
 Defined results: a null text is an empty one and has no ids; any length of text is encoded
-whole; other columns pass through untouched.
+whole; equal rows give equal rows; an empty table gives none; other columns pass through
+untouched, but for one of the name of the column that is added (`ids`, `decoded`, or as the
+caller names them), which is replaced.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._session import pinned, shipped
+from ._session import pinned, shipped, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,14 +87,15 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .edit_counts import recounted
+    from .edit_counts import planted, recounted
 
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    kept = written(planted(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern))
     # Three edits a document, at places that its doc_id gives: up to 12 characters become up to 24 from elsewhere in it.
     place = lambda seq, salt, n: F.pmod(F.xxhash64("doc_id", F.lit(seq), F.lit(salt)), n).cast("int")
     n = F.length(F.coalesce("text", F.lit(""))) + 1
     edit = lambda seq: F.struct(place(seq, 0, n).alias("start"), place(seq, 1, F.lit(13)).alias("length"), F.substring("text", place(seq, 2, n) + 1, place(seq, 3, F.lit(25))).alias("replacement"))
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.array(*map(edit, range(3))).alias("edits"))
-    out = recounted(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    out = recounted(kept.withColumn("edits", F.array(*map(edit, range(3)))), path, pattern)
     return out.select("doc_id", "n_tokens", "n_tokens_after", "n_chars_after", "reencoded_chars", F.sha2("text_after", 256).alias("text_after_sha256"))
 
 
