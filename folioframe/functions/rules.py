@@ -102,3 +102,20 @@ RELATION_REASONS = {
 LIBRARY_STATUSES = ["new", "indexed", "failed", "need_ocr", "need_review", "duplicate", "unsupported", "deleted"]
 TEMPLATE_EXTENSIONS = [".doc", ".docx", ".pdf"]
 MAX_TEMPLATE_BYTES = 50 * 1024 * 1024
+#: Task statuses, and the filter value for all of them.
+PENDING, DOING, WAITING, DONE, ALL = "Chưa thực hiện", "Đang thực hiện", "Chờ duyệt", "Hoàn thành", "Tất cả"
+#: Folded signals of an internal agency: the first alone, or the others together.
+INTERNAL_AGENCY = ("ban xay dung dang", ["ban", "dang"])
+#: Template sections: of the lines before any heading, and of capital lines; texts of a template's summary.
+OPENING, HEADING = "Mở đầu", "Tiêu đề"
+SUMMARY_LAYOUT, SUMMARY_OPENING = "Bố cục nhận diện: ", " Mở đầu mẫu: "
+#: Format signals: all of some of these lists must occur.
+FORMAT_SIGNALS = {
+    "has_national_header": [["cộng hòa xã hội chủ nghĩa việt nam"]], "has_motto": [["độc lập"], ["tự do"], ["hạnh phúc"]], "has_document_number": [["số:", "số "]],
+    "has_recipient": [["kính gửi", "nơi nhận"]], "has_signature_block": [["người ký", "trưởng ban", "kt."]],
+}
+LENGTH_CHECK, UNTITLED, UNNAMED = "Dung lượng nội dung", "Văn bản", "Văn bản chưa đặt tên"
+#: Patterns of a document's number, of dates in long and short form, and of reference numbers.
+NUMBER_LABEL = r"(?iu)Số\s*[:：]\s*([0-9A-Za-zÀ-ỹ/.\-]+)"
+LONG_DATE, SHORT_DATE = r"(?iu)ngày\s+(\d{1,2})\s+tháng\s+(\d{1,2})\s+năm\s+(\d{4})", r"(\d{1,2})[/-](\d{1,2})[/-](\d{4})"
+REFERENCE_NUMBER = r"(?U)\b\d{1,4}[-/][A-Za-zÀ-ỹ0-9./-]+"

@@ -7,6 +7,8 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from folioframe.functions import rules as R
+
 WORD = "[0-9A-Za-zÀ-ỹ]+"
 
 
@@ -75,7 +77,7 @@ def first_non_empty(*columns: Column) -> Column:
 
 
 def document_number(c: Column) -> Column:
-    return F.nullif(F.regexp_extract(text_or_empty(c), r"(?iu)Số\s*[:：]\s*([0-9A-Za-zÀ-ỹ/.\-]+)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(text_or_empty(c), R.NUMBER_LABEL, 1), F.lit(""))
 
 
 def _date(c: Column, pattern: str) -> Column:
@@ -86,7 +88,7 @@ def _date(c: Column, pattern: str) -> Column:
 def issued_date(c: Column) -> Column:
     """The long form, or where it is absent or no date the first d/m/yyyy or d-m-yyyy."""
     text = text_or_empty(c)
-    return F.coalesce(_date(text, r"(?iu)ngày\s+(\d{1,2})\s+tháng\s+(\d{1,2})\s+năm\s+(\d{4})"), _date(text, r"(\d{1,2})[/-](\d{1,2})[/-](\d{4})"))
+    return F.coalesce(_date(text, R.LONG_DATE), _date(text, R.SHORT_DATE))
 
 
 def first_rule(c: Column, rules: list[tuple[str, str]], flags: str = "(?iU)") -> Column:
@@ -120,7 +122,7 @@ def iso_date_text(c: Column) -> Column:
 
 
 def reference_numbers(c: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text_or_empty(c), F.lit(r"(?U)\b\d{1,4}[-/][A-Za-zÀ-ỹ0-9./-]+"), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(text_or_empty(c), F.lit(R.REFERENCE_NUMBER), F.lit(0)))
 
 
 def embedding_key(version: str, checksum: Column, text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from folioframe.functions import rules as R
 from folioframe.functions.text import ascii_like, file_stem, first_non_empty
 from folioframe.operators.tasks import positive
 
@@ -129,7 +130,7 @@ def knowledge_rows(catalogue: DataFrame) -> DataFrame:
     """Knowledge documents from catalogue rows; the title falls back to the file name, then to a constant."""
     meta = F.to_json(F.struct("summary", "keywords", "issuing_agency", "signer"))
     return catalogue.select(
-        F.col("id").alias("library_document_id"), first_non_empty(F.col("title"), F.col("file_name"), F.lit("Văn bản")).alias("title"), "document_type", "document_number", "field",
+        F.col("id").alias("library_document_id"), first_non_empty(F.col("title"), F.col("file_name"), F.lit(R.UNTITLED)).alias("title"), "document_type", "document_number", "field",
         F.col("checksum").alias("source_checksum"), meta.alias("metadata_json"),
     )
 

@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 from folioframe.functions import rules as R
 from folioframe.functions import text as X
 from folioframe.operators import vectors as V
+from folioframe.operators.metadata import is_internal
 
 
 def classified(requests: DataFrame, intents=R.INTENTS, threshold: float = R.LOW_CONFIDENCE) -> DataFrame:
@@ -127,7 +128,7 @@ def ranked_documents(requests: DataFrame, documents: DataFrame, k: int = 5, text
     """Ranker A: (request_id, doc_id, score, reason, rank). requests: request_id, request_text, document_type; documents with updated_at."""
     text = F.concat_ws(" ", "title", "summary", "keywords", "document_number")
     agency = X.folded(F.col("issuing_agency"))
-    internal = F.coalesce(F.contains(agency, F.lit("ban xay dung dang")) | (F.contains(agency, F.lit("ban")) & F.contains(agency, F.lit("dang"))), F.lit(False))
+    internal = F.coalesce(is_internal(agency), F.lit(False))
     ready = F.coalesce(F.col("status").isin("indexed", "need_review"), F.lit(False))
     none = F.lit(None).cast("string")
     cand = documents.select(

@@ -43,9 +43,9 @@ def template_sections(documents: DataFrame, headings=R.TEMPLATE_HEADINGS, most:
     """(doc_id, section_order, section_type, title, content): runs of lines under headings, at most `most` per document."""
     signal = lambda x: F.coalesce(*(F.when(F.contains(F.lower(x), F.lit(s.lower())), F.lit(kind)) for s, kind in headings))
     loud = lambda x: (x == F.upper(x)) & (x != F.lower(x)) & (F.length(x) <= 120)
-    line = F.transform(X.lines(F.col("text")), lambda x: F.struct(x.alias("line"), F.coalesce(signal(x), F.when(loud(x), F.lit("Tiêu đề"))).alias("kind")))
+    line = F.transform(X.lines(F.col("text")), lambda x: F.struct(x.alias("line"), F.coalesce(signal(x), F.when(loud(x), F.lit(R.HEADING))).alias("kind")))
     part = "struct<section_type:string,title:string,content:string>"
-    start = F.struct(F.array().cast(f"array<{part}>").alias("done"), F.lit("Mở đầu").alias("kind"), F.lit("Mở đầu").alias("title"), F.array().cast("array<string>").alias("buffer"))
+    start = F.struct(F.array().cast(f"array<{part}>").alias("done"), F.lit(R.OPENING).alias("kind"), F.lit(R.OPENING).alias("title"), F.array().cast("array<string>").alias("buffer"))
     held = lambda s: F.struct(s["kind"].alias("section_type"), s["title"].alias("title"), F.array_join(s["buffer"], "\n").alias("content"))
 
     def step(s: Column, x: Column) -> Column:
@@ -64,17 +64,20 @@ def template_sections(documents: DataFrame, headings=R.TEMPLATE_HEADINGS, most:
 
 def format_signals(c: Column) -> dict[str, Column]:
     low = F.lower(X.text_or_empty(c))
-    has = lambda *s: X.contains_any(low, list(s))
-    return {
-        "has_national_header": has("cộng hòa xã hội chủ nghĩa việt nam"), "has_motto": has("độc lập") & has("tự do") & has("hạnh phúc"), "has_document_number": has("số:", "số "),
-        "has_recipient": has("kính gửi", "nơi nhận"), "has_signature_block": has("người ký", "trưởng ban", "kt."),
-    }
+
+    def all_of(lists: list[list[str]]) -> Column:
+        out = X.contains_any(low, lists[0])
+        for signals in lists[1:]:
+            out = out & X.contains_any(low, signals)
+        return out
+
+    return {name: all_of(lists) for name, lists in R.FORMAT_SIGNALS.items()}
 
 
 def template_summary(c: Column, section_types: Column) -> Column:
     head = F.array_join(F.slice(X.lines(c), 1, 5), " / ")
-    named = F.concat(F.lit("Bố cục nhận diện: "), F.array_join(F.slice(section_types, 1, 6), ", "), F.lit("."))
-    return F.when(head == "", named).otherwise(F.concat(named, F.lit(" Mở đầu mẫu: "), F.substring(head, 1, 300)))
+    named = F.concat(F.lit(R.SUMMARY_LAYOUT), F.array_join(F.slice(section_types, 1, 6), ", "), F.lit("."))
+    return F.when(head == "", named).otherwise(F.concat(named, F.lit(R.SUMMARY_OPENING), F.substring(head, 1, 300)))
 
 
 def analysed_templates(templates: DataFrame) -> DataFrame:
@@ -83,7 +86,7 @@ def analysed_templates(templates: DataFrame) -> DataFrame:
     out = templates.join(kinds, "doc_id", "left")
     return out.select(
         "doc_id", *(v.alias(k) for k, v in format_signals(F.col("text")).items()), F.array_join(X.distinct_words(F.concat_ws(" ", "name", "text"), R.TEMPLATE_STOPWORDS), ", ").alias("keywords"),
-        template_summary(F.col("text"), F.col("section_types")).alias("summary"), F.lit("Đã phân tích").alias("status"),
+        template_summary(F.col("text"), F.col("section_types")).alias("summary"), F.lit(R.ANALYSED).alias("status"),
     )
 
 
@@ -102,7 +105,7 @@ def format_review(drafts: DataFrame, checks=R.DRAFT_CHECKS, least: int = 200) ->
     """(draft_id, name, ok): presence checks and the length check."""
     low = F.lower(X.text_or_empty(F.col("content")))
     rows = [F.struct(F.lit(n).alias("name"), F.contains(low, F.lit(s.lower())).alias("ok")) for n, s in checks]
-    rows.append(F.struct(F.lit("Dung lượng nội dung").alias("name"), (F.length(X.stripped(X.text_or_empty(F.col("content")))) >= least).alias("ok")))
+    rows.append(F.struct(F.lit(R.LENGTH_CHECK).alias("name"), (F.length(X.stripped(X.text_or_empty(F.col("content")))) >= least).alias("ok")))
     return drafts.select("draft_id", F.explode(F.array(*rows)).alias("c")).select("draft_id", "c.*")
 
 
@@ -120,7 +123,7 @@ def extracted_metadata(documents: DataFrame, types=R.DOCUMENT_TYPES, fields=R.CA
     return df.select(
         "doc_id", "document_number", X.issued_date(F.col("t")).alias("issued_date"), "document_type", agency.alias("issuing_agency"), F.get(after, 0)["next"].alias("signer"), "summary",
         X.distinct_words(F.concat_ws(" ", "t", "file_name"), R.CATALOGUE_STOPWORDS).alias("keywords"), X.best_field(F.col("t"), fields).alias("field"),
-        X.first_non_empty(F.col("summary"), X.file_stem(F.col("file_name")), F.col("document_type"), F.lit("Văn bản chưa đặt tên")).alias("title"),
+        X.first_non_empty(F.col("summary"), X.file_stem(F.col("file_name")), F.col("document_type"), F.lit(R.UNNAMED)).alias("title"),
     )
 
 

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioframe.functions.rules import ALL, DOING, DONE, PENDING, WAITING
 from folioframe.functions.text import ascii_like
 
-PENDING, DOING, WAITING, DONE, ALL = "Chưa thực hiện", "Đang thực hiện", "Chờ duyệt", "Hoàn thành", "Tất cả"
 DISPLAY_COLUMNS = ["id", "title", "work_code", "assigned_to", "deadline", "priority", "status", "progress", "workspace_name", "field", "point"]
 #: Rows and characters (as JSON) up to which a dimension is sent to all executors; larger ones are shuffled.
 DIMENSION_ROWS, DIMENSION_CHARS = 200_000, 64_000_000
