@@ -238,8 +238,11 @@ def _directory(path):
 
 
 def licensed(files: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """files (path, text, ...) without text, with license, score, origin (file, header, inherited, none) and licensed_by, the directory."""
-    own = pinned(scanned(files, templates, threshold).withColumn("__dir", _directory(F.col("path"))))
+    """files (path, text, ...) without text, with license, score, origin (file, header, inherited, none) and licensed_by, the directory; columns of these names are replaced."""
+    kept = [c for c in files.columns if c not in ("text", "license", "score", "origin", "licensed_by")]
+    # One struct of all columns, so that no name of theirs meets one of ours.
+    packed = files.select(F.struct(*kept).alias("__row"), "path", "text")
+    own = pinned(scanned(packed, templates, threshold).withColumn("__dir", _directory(F.col("path"))))
     of_dirs = (
         own.where("own_kind = 'file' AND path IS NOT NULL")
         .groupBy(F.col("__dir").alias("above"))
@@ -255,9 +258,8 @@ def licensed(files: DataFrame, templates: dict[str, list[str]] | None = None, th
     salt = F.pmod(F.xxhash64("path", "own_license", "own_score"), F.lit(SALTS)).cast("int")
     out = own.withColumn("__salt", salt).join(nearest, ["__dir", "__salt"], "left")
     mine = F.col("own_kind").isNotNull()
-    rest = [c for c in own.columns if c not in ("__dir", "own_license", "own_score", "own_kind")]
     return out.select(
-        *rest,
+        *(F.col("__row")[c].alias(c) for c in kept),
         F.when(mine, F.col("own_license")).otherwise(F.col("dir_license")).alias("license"),
         F.when(mine, F.col("own_score")).otherwise(F.coalesce("dir_score", F.lit(0.0))).alias("score"),
         F.coalesce("own_kind", F.when(F.col("dir_license").isNotNull(), "inherited"), F.lit("none")).alias("origin"),

@@ -120,19 +120,31 @@ def _gain(p: float, n: float, p0: float, n0: float) -> float:
     return p * (log2((p + 1e-9) / (p + n + 1e-9)) - log2((p0 + 1e-9) / (p0 + n0 + 1e-9))) if p else -1.0
 
 
-def learn(labelled: DataFrame) -> list[Rule]:
-    """Rules for rejection from rows with the statistics and bad (0 or 1), in order."""
-    names = list(ratios())
+def prepared(labelled: DataFrame) -> DataFrame:
+    """Labelled rows with the ratios and the part that each is in: rules grow on the one and are pruned on the other."""
     rows = labelled.where("bad IS NOT NULL").withColumns({f"__{k}": v for k, v in ratios().items()})
-    rows = pinned(rows.withColumn("__grow", F.crc32(F.col("doc_id").cast("string")) % 3 != 0))
+    return rows.withColumn("__grow", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 != 0, F.lit(True)))
+
+
+def thresholds(rows: DataFrame) -> dict[str, list[float]]:
+    """Per ratio, the thresholds that conditions are made of; none without rows."""
+    names = list(ratios())
     quantiles = [i / STEPS for i in range(1, STEPS)]
     cuts = rows.agg(*(F.percentile_approx(f"__{k}", quantiles, 1000).alias(k) for k in names), F.count(F.lit(1)).alias("n")).first()
     if not cuts["n"]:
-        return []
+        return {}
     cuts = {k: sorted(set(cuts[k])) for k in names}
     # Between two quantiles of one value lies nothing; a rule on a value that is 0 for most needs thresholds above that.
     upper = rows.agg(*(F.percentile_approx(F.when(F.col(f"__{k}") > cuts[k][-1] / 2, F.col(f"__{k}")), [0.1, 0.3, 0.5, 0.7, 0.9], 1000).alias(k) for k in names)).first()
-    cuts = {k: sorted({*cuts[k], *(upper[k] or []), *(x / 2 for x in (upper[k] or [])[:1])}) for k in names}
+    return {k: sorted({*cuts[k], *(upper[k] or []), *(x / 2 for x in (upper[k] or [])[:1])}) for k in names}
+
+
+def learn(labelled: DataFrame) -> list[Rule]:
+    """Rules for rejection from rows with the statistics and bad (0 or 1), in order."""
+    names, rows = list(ratios()), pinned(prepared(labelled))
+    cuts = thresholds(rows)
+    if not cuts:
+        return []
 
     def counts(where: Column, grow: bool) -> dict[tuple[str, int], tuple[int, int]]:
         """Bad and good rows per statistic and bin; bin i lies above i thresholds."""
