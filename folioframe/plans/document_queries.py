@@ -272,8 +272,16 @@ def _(spark, d):
     return S.analysed_templates(table(spark, d, "documents").select("doc_id", F.col("source").alias("name"), "text"))
 
 
+_STOP = ", ".join(f"'{w}'" for w in R.KNOWLEDGE_STOPWORDS)
+_NUMBERS = r"regexp_extract_all(text, '\b\d{1,4}[-/][A-Za-zÀ-ỹ0-9./-]+')"
+ENTITIES = f"""{CAT}, tok AS (SELECT doc_id, unnest({WORDS}) AS w, generate_subscripts({WORDS}, 1) AS pos FROM documents), cnt AS (SELECT doc_id, w, count(*) AS n, min(pos) AS f FROM tok WHERE length(w) >= 3 AND w NOT IN ({_STOP}) GROUP BY 1, 2),
+  keys AS (SELECT doc_id, w, least(n + 1, 10)::DOUBLE AS weight FROM cnt QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f) <= 20),
+  e AS (SELECT doc_id, 0 AS pos, 'document_type' AS entity_type, document_type AS entity_value, 8.0::DOUBLE AS weight FROM cat UNION ALL SELECT doc_id, 1, 'document_number', document_number, 10.0 FROM cat UNION ALL SELECT doc_id, 2, 'agency', issuing_agency, 8.0 FROM cat UNION ALL SELECT doc_id, 4, 'field', field, 7.0 FROM cat
+    UNION ALL SELECT doc_id, 5, 'keyword', w, weight FROM keys UNION ALL SELECT doc_id, 6 + generate_subscripts({_NUMBERS}, 1), 'reference_number', unnest({_NUMBERS}), 5.0 FROM documents)"""
 VALUES = f"{KEYS}, vals AS (SELECT DISTINCT doc_id, keyword AS v FROM keys), idx AS (SELECT doc_id, v FROM vals)"
-PAIRS = f"{VALUES}, pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared, array_to_string(list_sort(list(v))[1:8], ', ') AS evidence FROM idx a JOIN idx b USING (v) WHERE a.doc_id < b.doc_id GROUP BY 1, 2)"
+_PAIRS = "pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared, array_to_string(list_sort(list(v))[1:8], ', ') AS evidence FROM idx a JOIN idx b USING (v) WHERE a.doc_id < b.doc_id GROUP BY 1, 2)"
+PAIRS = f"{VALUES}, {_PAIRS}"
+ALL_PAIRS = f"{ENTITIES}, idx AS (SELECT DISTINCT doc_id, lower(entity_value) AS v FROM e), {_PAIRS}"
 
 
 def _values(spark, d):
@@ -301,21 +309,13 @@ def _(spark, d):
     return K.value_members(_values(spark, d))
 
 
-@query("c7_all_shared_values")
+@query("c7_all_shared_values", f"WITH {ALL_PAIRS} SELECT * FROM pairs")
 def _(spark, d):
     """Every pair of documents with a common value, however many documents hold it."""
     return K.shared_values(_all_values(spark, d))
 
 
-_STOP = ", ".join(f"'{w}'" for w in R.KNOWLEDGE_STOPWORDS)
-_NUMBERS = r"regexp_extract_all(text, '\b\d{1,4}[-/][A-Za-zÀ-ỹ0-9./-]+')"
-
-
-@query("g4_entities", f"""WITH {CAT}, tok AS (SELECT doc_id, unnest({WORDS}) AS w, generate_subscripts({WORDS}, 1) AS pos FROM documents), cnt AS (SELECT doc_id, w, count(*) AS n, min(pos) AS f FROM tok WHERE length(w) >= 3 AND w NOT IN ({_STOP}) GROUP BY 1, 2),
-  keys AS (SELECT doc_id, w, least(n + 1, 10)::DOUBLE AS weight FROM cnt QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f) <= 20),
-  e AS (SELECT doc_id, 0 AS pos, 'document_type' AS entity_type, document_type AS entity_value, 8.0::DOUBLE AS weight FROM cat UNION ALL SELECT doc_id, 1, 'document_number', document_number, 10.0 FROM cat UNION ALL SELECT doc_id, 2, 'agency', issuing_agency, 8.0 FROM cat UNION ALL SELECT doc_id, 4, 'field', field, 7.0 FROM cat
-    UNION ALL SELECT doc_id, 5, 'keyword', w, weight FROM keys UNION ALL SELECT doc_id, 6 + generate_subscripts({_NUMBERS}, 1), 'reference_number', unnest({_NUMBERS}), 5.0 FROM documents)
-  SELECT doc_id, entity_type, min_by(entity_value, pos) AS entity_value, max(weight) AS weight FROM e GROUP BY doc_id, entity_type, lower(entity_value)""")
+@query("g4_entities", f"WITH {ENTITIES} SELECT doc_id, entity_type, min_by(entity_value, pos) AS entity_value, max(weight) AS weight FROM e GROUP BY doc_id, entity_type, lower(entity_value)")
 def _(spark, d):
     return _entities(spark, d)
 
@@ -329,17 +329,20 @@ def _typed(spark, d):
     return table(spark, d, "documents").select("doc_id", kind.alias("document_type"), "source", F.concat("source", "lang").alias("field"), F.concat("source", F.lit("-"), "n_chars").alias("document_number"))
 
 
-@query("h1_h2_relations", f"""WITH {PAIRS}, doc AS (SELECT doc_id, CASE lang WHEN 'en' THEN 'Báo cáo' WHEN 'fr' THEN 'Kế hoạch' WHEN 'de' THEN 'Quyết định' ELSE 'Công văn' END AS t, source AS f, CASE lang WHEN 'en' THEN 5 WHEN 'fr' THEN 3 WHEN 'de' THEN 2 ELSE 4 END AS r FROM documents),
+_RELATIONS = """doc AS (SELECT doc_id, CASE lang WHEN 'en' THEN 'Báo cáo' WHEN 'fr' THEN 'Kế hoạch' WHEN 'de' THEN 'Quyết định' ELSE 'Công văn' END AS t, source AS f, CASE lang WHEN 'en' THEN 5 WHEN 'fr' THEN 3 WHEN 'de' THEN 2 ELSE 4 END AS r FROM documents),
   al AS (SELECT x.doc_id AS s, y.doc_id AS t, x.t AS st, y.t AS tt, x.r AS sr, y.r AS tr, x.f = y.f AS same, coalesce(p.shared, 0) AS shared, coalesce(p.evidence, '') AS evidence FROM doc x JOIN doc y ON x.doc_id <> y.doc_id LEFT JOIN pairs p ON p.a = least(x.doc_id, y.doc_id) AND p.b = greatest(x.doc_id, y.doc_id)),
   k AS (SELECT *, CASE WHEN shared = 0 AND NOT same THEN NULL WHEN st = 'Báo cáo' AND tt IN ('Kế hoạch', 'Công văn') THEN 'reports' WHEN st IN ('Công văn', 'Kế hoạch') AND tt IN ('Quy định', 'Quyết định') THEN 'implements' WHEN sr > tr THEN 'follows' WHEN shared > 0 THEN 'related' END AS kind FROM al),
   fw AS (SELECT s, t, kind, greatest(1, shared)::DOUBLE AS weight, shared, evidence FROM k WHERE kind IS NOT NULL), m AS (SELECT t AS s, s AS t, kind, weight, least(1.0, 0.5 + weight * 0.1) AS conf, evidence FROM fw WHERE kind = 'related' AND s > t)
-  SELECT fw.s AS source_id, fw.t AS target_id, fw.kind AS relation_type, fw.weight, 1.0::DOUBLE AS confidence, false AS is_bidirectional, fw.evidence FROM fw WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.s = fw.s AND m.t = fw.t AND m.kind = fw.kind) UNION ALL SELECT s, t, kind, weight, round(conf, 6), true, evidence FROM m""")
+  SELECT fw.s AS source_id, fw.t AS target_id, fw.kind AS relation_type, fw.weight, 1.0::DOUBLE AS confidence, false AS is_bidirectional, fw.evidence FROM fw WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.s = fw.s AND m.t = fw.t AND m.kind = fw.kind) UNION ALL SELECT s, t, kind, weight, round(conf, 6), true, evidence FROM m"""
+
+
+@query("h1_h2_relations", f"WITH {PAIRS}, {_RELATIONS}")
 def _(spark, d):
     docs = _typed(spark, d).select("doc_id", "document_type", F.col("source").alias("field"))
     return K.relations(docs, _values(spark, d)).withColumn("confidence", F.round("confidence", 6))
 
 
-@query("h1_h2_all_relations")
+@query("h1_h2_all_relations", f"WITH {ALL_PAIRS}, {_RELATIONS}")
 def _(spark, d):
     docs = _typed(spark, d).select("doc_id", "document_type", F.col("source").alias("field"))
     return K.relations(docs, _all_values(spark, d)).withColumn("confidence", F.round("confidence", 6))
@@ -362,7 +365,7 @@ def _(spark, d):
     return M.relation_classes(m.withColumn("normalized_type", M.normalized_type(F.col("document_type"))))[0]
 
 
-@query("h5_relations_of_catalogue")
+@query("h5_relations_of_catalogue", f"""WITH {_R2.replace("source || lang AS f", "lang AS f")} SELECT s AS source_id, g AS target_id, ['references', 'reports', 'implements', 'related'][k] AS relation_type, [0.92, 0.78, 0.72, 0.58][k]::DOUBLE AS weight, [0.92, 0.78, 0.72, 0.58][k]::DOUBLE AS confidence, 'forward' AS direction FROM r WHERE k IS NOT NULL""")
 def _(spark, d):
     """As h5_relations_v2, with the catalogue's own field, the language."""
     m = _typed(spark, d).drop("field").join(catalogue(spark, d).select("doc_id", "field"), "doc_id")
