@@ -5,9 +5,11 @@ some benchmark window is looked up by, and one length record per document. Each
 13 item words is looked up by its rarest terms: corpus frequencies of all benchmark words
 are counted first, and only the LOOKUPS rarest of each window are indexed, so common words
 never become postings unless a window has nothing else. A posting at document position p of
-the term at item position q is aligned at p - q; lists are intersected by that offset, item
-by item, which serves all overlapping windows of an item at once. What survives is compared
-word by word.
+the term at item position q is aligned at p - q. An item is laid out in overlapping stretches
+of 64 positions, each window within one, so the terms met are bits of a whole number: a
+document and a stretch whose bits hold no window are given up at once. Of the others the
+lists are intersected by offset: at one offset for exact phrases, whose places are then
+compared word by word, and at offsets within slop of each other for proximity.
 
 Everything is DataFrame and SQL functions. Postings are keyed by document as well as term
 wherever they are grouped, so a passage that a third of all documents hold is no group in
@@ -15,9 +17,11 @@ one task. The benchmark's words go to all executors only below BROADCAST_WORDS w
 beyond that the same joins are shuffled.
 
 Defined results: a null text has no words; an item without words has no window and one of
-fewer than 13 words is one window; a document without words is not contaminated; rows that
-repeat a doc_id have that id's hits each; a null doc_id has none; an empty benchmark hits
-nothing; further columns are ignored.
+fewer than 13 words is one window; rows of the benchmark that share an item_id are items of
+their own, which count as one item of that id; a null item_id is an id of its own that is no
+part of `items`; a document without words is not contaminated; rows that repeat a doc_id have
+the hits of all that id's texts each; a null doc_id has none; an empty benchmark hits nothing;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ from ._session import pinned
 
 WINDOW = 13
 LOOKUPS = 4
+#: Item positions from one stretch to the next; a stretch has 64, so that each window lies within one.
+STRETCH = 64 - (WINDOW - 1)
 #: The length record's place in the index; no word is empty.
 LENGTH = ""
 BROADCAST_WORDS = 2_000_000
@@ -44,26 +50,30 @@ def words(text: Column) -> Column:
 
 
 class Benchmark:
-    """Items with their words, and how each window is looked up."""
+    """Items (one for each different row) with their words, and how each window is looked up."""
 
     def __init__(self, benchmark: DataFrame):
-        items = benchmark.select(F.col("item_id"), words(F.col("text")).alias("item_words")).where("item_id IS NOT NULL AND size(item_words) > 0")
-        self.items = pinned(items.distinct())
+        items = benchmark.select(F.col("item_id"), words(F.col("text")).alias("item_words")).where("size(item_words) > 0").distinct()
+        self.items = pinned(items.select(F.xxhash64("item_id", "item_words").alias("item"), "item_id", "item_words"))
         total = self.items.agg(F.sum(F.size("item_words"))).first()[0] or 0
         self.small = total <= BROADCAST_WORDS
-        self.terms = self.items.select("item_id", F.posexplode("item_words").alias("q", "term"))
+        self.terms = self.items.select("item", F.posexplode("item_words").alias("q", "term"))
 
     def hinted(self, df: DataFrame) -> DataFrame:
         return F.broadcast(df) if self.small else df
 
     def planned(self, frequency: DataFrame) -> DataFrame:
-        """(item_id, item_words, lookups): for each window, the item positions of its rarest terms."""
-        ranked = self.terms.join(frequency, "term", "left").select("item_id", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "q").alias("x"))
-        lists = ranked.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct(F.col("x.q").alias("q"), F.col("x.n").alias("n")))).alias("by_q"))
+        """(item, lookups): for each window, the item positions of its rarest terms."""
+        ranked = self.terms.join(frequency, "term", "left").select("item", "q", F.coalesce("n", F.lit(0)).alias("n"))
+        lists = ranked.groupBy("item").agg(F.sort_array(F.collect_list(F.struct("q", "n"))).alias("by_q"))
         starts = F.sequence(F.lit(1), F.greatest(F.size("by_q") - (WINDOW - 1), F.lit(1)))
         rarest = lambda i: F.slice(F.array_sort(F.transform(F.slice("by_q", i, WINDOW), lambda x: F.struct(x["n"].alias("n"), x["q"].alias("q")))), 1, LOOKUPS)
         lookups = F.array_distinct(F.transform(starts, lambda i: F.sort_array(F.transform(rarest(i), lambda x: x["q"]))))
-        return lists.select("item_id", lookups.alias("lookups"))
+        return lists.select("item", lookups.alias("lookups"))
+
+    def looked_up(self, planned: DataFrame) -> DataFrame:
+        """(item, q, term) of all lookups."""
+        return planned.select("item", F.explode(F.array_distinct(F.flatten("lookups"))).alias("q")).join(self.terms, ["item", "q"])
 
 
 def frequencies(docs: DataFrame, bench: Benchmark) -> DataFrame:
@@ -78,69 +88,90 @@ def postings(docs: DataFrame, terms: DataFrame, bench: Benchmark) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.concat(words(F.col("text")), F.array(F.lit(LENGTH)))).alias("pos", "term")).join(wanted, "term")
 
 
-def aligned(index: DataFrame, planned: DataFrame, bench: Benchmark, slop: int = 0) -> DataFrame:
-    """(doc_id, item_id, delta) where all lookups of a window meet.
+def _masks(planned: DataFrame) -> DataFrame:
+    """(item, stretch, masks): the windows that begin in a stretch, each as the bits of its lookups."""
+    each = planned.select("item", F.explode("lookups").alias("w")).withColumn("stretch", F.floor(F.element_at("w", 1) / STRETCH))
+    bits = F.aggregate("w", F.lit(0).cast("long"), lambda m, q: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (q - F.col("stretch") * STRETCH).cast("int"))))
+    return each.select("item", "stretch", bits.alias("mask")).groupBy("item", "stretch").agg(F.collect_set("mask").alias("masks"))
 
-    slop 0: at one offset, as in an exact phrase. Otherwise proximity: offsets within slop
-    of each other; delta is then the number of their stretch.
-    """
-    chosen = planned.select("item_id", F.explode(F.array_distinct(F.flatten("lookups"))).alias("q")).join(bench.terms, ["item_id", "q"])
-    offsets = index.join(bench.hinted(chosen), "term").select("doc_id", "item_id", "q", (F.col("pos") - F.col("q")).alias("delta"))
-    if slop:  # stretches of 2 * slop that overlap by half hold any two offsets within slop
-        at = F.floor(F.col("delta") / slop)
-        offsets = offsets.withColumn("delta", F.explode(F.array(at, at - 1)))
-    met = offsets.groupBy("doc_id", "item_id", "delta").agg(F.collect_set("q").alias("found"))
-    whole = F.exists("lookups", lambda w: F.size(F.array_except(w, F.col("found"))) == 0)
-    return met.join(bench.hinted(planned), "item_id").where(whole).select("doc_id", "item_id", "delta")
+
+def _holding(df: DataFrame, by: list[str]) -> DataFrame:
+    """The groups whose bits hold one of their masks."""
+    met = df.groupBy(*by).agg(F.bit_or("bit").alias("seen"), F.first("masks").alias("masks"))
+    return met.where(F.exists("masks", lambda m: F.col("seen").bitwiseAND(m) == m)).select(*by)
+
+
+def met_in(index: DataFrame, planned: DataFrame, bench: Benchmark) -> DataFrame:
+    """(doc_id, item, stretch, masks, delta, bit): all postings of documents and stretches that hold the terms of a window, anywhere."""
+    at = F.floor(F.col("q") / STRETCH)
+    also = F.when((F.col("q") % STRETCH < 64 - STRETCH) & (at > 0), at - 1)
+    chosen = bench.looked_up(planned).withColumn("stretch", F.explode(F.array(at, also))).where("stretch IS NOT NULL")
+    chosen = chosen.select("item", "q", "term", "stretch", F.expr(f"shiftleft(1L, cast(q - stretch * {STRETCH} AS int))").alias("bit"))
+    posted = index.join(bench.hinted(chosen), "term").select("doc_id", "item", "stretch", "bit", (F.col("pos") - F.col("q")).alias("delta"))
+    lists = posted.groupBy("doc_id", "item", "stretch").agg(F.bit_or("bit").alias("seen"), F.collect_list(F.struct("delta", "bit")).alias("places"))
+    held = lists.join(bench.hinted(_masks(planned)), ["item", "stretch"]).where(F.exists("masks", lambda m: F.col("seen").bitwiseAND(m) == m))
+    return held.select("doc_id", "item", "stretch", "masks", F.explode("places").alias("place")).select("doc_id", "item", "stretch", "masks", "place.delta", "place.bit")
+
+
+def aligned(met: DataFrame) -> DataFrame:
+    """(doc_id, item, delta) where all lookups of a window meet at one offset, as in an exact phrase."""
+    return _holding(met, ["doc_id", "item", "stretch", "delta"]).select("doc_id", "item", "delta").distinct()
+
+
+def near(met: DataFrame, slop: int) -> DataFrame:
+    """(doc_id, item) where all lookups of a window meet at offsets within slop of each other."""
+    at = F.floor(F.col("delta") / slop)  # parts of 2 * slop that overlap by half hold any two offsets within slop
+    return _holding(met.withColumn("delta", F.explode(F.array(at, at - 1))), ["doc_id", "item", "stretch", "delta"]).select("doc_id", "item").distinct()
 
 
 def occurrences(docs: DataFrame, candidates: DataFrame, bench: Benchmark) -> DataFrame:
-    """(doc_id, item_id, start, length): every place where a window occurs in full."""
+    """(doc_id, item, item_id, start, length): every place where a window occurs in full."""
     slot = f"(xxhash64(doc_id) & {(1 << FILTER_BITS) - 1})"
     bits = candidates.selectExpr(f"shiftright({slot}, 6) AS word", f"shiftleft(1L, cast({slot} & 63 AS int)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits"))
     # At most 2**17 rows: texts that hold no candidate stay where they are.
     texts = docs.withColumn("word", F.expr(f"shiftright({slot}, 6)")).join(F.broadcast(bits), "word").where(f"shiftright(bits, cast({slot} & 63 AS int)) & 1 = 1")
-    places = candidates.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "delta")).alias("places"))
+    places = candidates.groupBy("doc_id").agg(F.collect_list(F.struct("item", "delta")).alias("places"))
     here = texts.select("doc_id", "text").join(places, "doc_id").select("doc_id", words(F.col("text")).alias("doc_words"), "places")
-    here = here.select("doc_id", "doc_words", F.explode("places").alias("place")).select("doc_id", "doc_words", "place.item_id", "place.delta")
-    here = here.join(bench.hinted(bench.items), "item_id")
+    here = here.select("doc_id", "doc_words", F.explode("places").alias("place")).select("doc_id", "doc_words", "place.item", "place.delta")
+    here = here.join(bench.hinted(bench.items), "item")
     first = F.greatest(F.lit(0), -F.col("delta"))
     last = F.least(F.size("item_words"), F.size("doc_words") - F.col("delta"))
     here = here.withColumn("first", first).withColumn("n", last - first).withColumn("length", F.least(F.size("item_words"), F.lit(WINDOW))).where("n >= length")
     same = F.zip_with(F.slice("doc_words", F.col("first") + F.col("delta") + 1, F.col("n")), F.slice("item_words", F.col("first") + 1, F.col("n")), lambda x, y: x == y)
-    here = here.select("doc_id", "item_id", "length", (F.col("first") + F.col("delta")).alias("at"), same.alias("same"))
+    here = here.select("doc_id", "item", "item_id", "length", (F.col("first") + F.col("delta")).alias("at"), same.alias("same"))
     begins = F.filter(F.sequence(F.lit(0), F.size("same") - F.col("length")), lambda i: F.forall(F.slice("same", i + 1, F.col("length")), lambda x: x))
-    return here.select("doc_id", "item_id", "length", "at", F.explode(begins).alias("i")).select("doc_id", "item_id", (F.col("at") + F.col("i")).alias("start"), "length").distinct()
+    return here.select("doc_id", "item", "item_id", "length", "at", F.explode(begins).alias("i")).select("doc_id", "item", "item_id", (F.col("at") + F.col("i")).alias("start"), "length").distinct()
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, slop: int = 5) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items, contaminated, n_near_items) for every row.
 
     n_hit: words inside some window's occurrence; items: their item_ids as sorted strings;
-    n_near_items, with slop: items one of whose windows has its rarest terms within slop of
+    n_near_items, with slop: item_ids one of whose windows has its rarest terms within slop of
     their places.
     """
     docs = documents.select("doc_id", "text")
     bench = Benchmark(benchmark)
     planned = pinned(bench.planned(frequencies(docs, bench)))
-    terms = planned.select("item_id", F.explode(F.array_distinct(F.flatten("lookups"))).alias("q")).join(bench.terms, ["item_id", "q"])
-    index = pinned(postings(docs, terms, bench))
+    index = pinned(postings(docs, bench.looked_up(planned), bench))
     lengths = index.where(F.col("term") == LENGTH).select("doc_id", F.col("pos").cast("long").alias("n_words"))
-    index = index.where(F.col("term") != LENGTH)
-    found = occurrences(docs, pinned(aligned(index, planned, bench)), bench)
+    met = pinned(met_in(index.where(F.col("term") != LENGTH), planned, bench))
+    found = occurrences(docs, pinned(aligned(met)), bench)
     # Union of the intervals of a document: each adds what lies beyond all before it.
-    before = Window.partitionBy("doc_id").orderBy("start", "length", "item_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("doc_id").orderBy("start", "length", "item").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("start") + F.col("length")
     fresh = F.greatest(F.lit(0), end - F.greatest(F.col("start"), F.coalesce(F.max(end).over(before), F.col("start"))))
-    hits = found.withColumn("fresh", fresh).groupBy("doc_id").agg(F.sum("fresh").cast("long").alias("n_hit"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    hits = found.withColumn("fresh", fresh).groupBy("doc_id").agg(
+        F.sum("fresh").cast("long").alias("n_hit"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"), F.max(F.col("item_id").isNull().cast("long")).alias("nameless")
+    )
     zero = F.lit(0).cast("long")
     out = lengths.join(hits, "doc_id", "left").withColumn("n_hit", F.coalesce("n_hit", zero))
     if slop:
-        near = aligned(index, planned, bench, slop).groupBy("doc_id").agg(F.countDistinct("item_id").alias("n_near_items"))
-        out = out.join(near, "doc_id", "left").withColumn("n_near_items", F.coalesce("n_near_items", zero))
+        ids = near(met, slop).join(bench.hinted(bench.items.select("item", "item_id")), "item").groupBy("doc_id")
+        out = out.join(ids.agg((F.countDistinct("item_id") + F.max(F.col("item_id").isNull().cast("long"))).alias("n_near_items")), "doc_id", "left").withColumn("n_near_items", F.coalesce("n_near_items", zero))
     return out.select(
         "doc_id", "n_words", "n_hit",
-        F.when(F.col("items").isNull(), zero).otherwise(F.size("items").cast("long")).alias("n_items"),
+        F.when(F.col("items").isNull(), zero).otherwise(F.size("items") + F.col("nameless")).cast("long").alias("n_items"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
         *(["n_near_items"] if slop else []),

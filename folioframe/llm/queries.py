@@ -65,16 +65,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
-    out = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), slop=0)
-    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    out = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "n_near_items")
 
 
 def op6_near_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op6_decontaminate with the proximity half too, which its SQL does not have."""
-    from .decontaminate import contamination
-
-    out = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
-    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "n_near_items")
+    """op6_decontaminate under its earlier name, from when that had no proximity half."""
+    return op6_decontaminate(spark, sf_dir)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,10 +137,26 @@ WITH d AS (
   SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(s, s + n)) AS p FROM occ) GROUP BY doc_id
 ), items AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM occ) GROUP BY doc_id
+), freq AS (
+  SELECT term, count(*) AS n FROM (SELECT unnest(w) AS term FROM d) GROUP BY term
+), item AS (
+  SELECT row_number() OVER () AS item, item_id, w FROM (SELECT DISTINCT item_id, w FROM b WHERE len(w) > 0)
+), place AS (
+  SELECT item, s, q, w[q + 1] AS term FROM (SELECT item, w, s, unnest(range(s, least(s + 13, len(w)))) AS q FROM (SELECT item, w, unnest(range(0, greatest(len(w) - 12, 1))) AS s FROM item))
+), look AS (
+  SELECT item, s, q, term, count(*) OVER (PARTITION BY item, s) AS need
+  FROM (SELECT item, s, q, term, row_number() OVER (PARTITION BY item, s ORDER BY coalesce(n, 0), q) AS r FROM place LEFT JOIN freq USING (term)) WHERE r <= 4
+), post AS (
+  SELECT doc_id, p, term FROM (SELECT doc_id, unnest(w) AS term, unnest(range(0, len(w))) AS p FROM d) WHERE term IN (SELECT term FROM look)
+), part AS (
+  SELECT DISTINCT doc_id, item, s, q, need, unnest([h, h - 1]) AS h FROM (SELECT doc_id, item, s, q, need, floor((p - q) / 5.0)::BIGINT AS h FROM post JOIN look USING (term))
+), near AS (
+  SELECT doc_id, count(DISTINCT item_id) + max((item_id IS NULL)::INT) AS n_near_items
+  FROM (SELECT DISTINCT doc_id, item FROM (SELECT doc_id, item FROM part GROUP BY doc_id, item, s, need, h HAVING count(*) = need)) JOIN item USING (item) GROUP BY doc_id
 )
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
-       (coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w)) AS contaminated
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+       (coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w)) AS contaminated, coalesce(n_near_items, 0)::BIGINT AS n_near_items
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 
 
@@ -181,4 +194,4 @@ FROM leaf JOIN r USING (doc_id) JOIN l ON l.d = leaf.d AND l.prefix = r.h >> (60
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": _OP1_SQL, "op4_sharding": _OP4_SQL, "op6_decontaminate": _OP6_SQL}
+    return {"op1_ngram_jaccard_join": _OP1_SQL, "op4_sharding": _OP4_SQL, "op6_decontaminate": _OP6_SQL, "op6_near_items": _OP6_SQL}
