@@ -3,6 +3,11 @@
 Every stage is (name, function); a function takes (spark, docs, sf_dir) and returns a
 DataFrame, which is written as Parquet and read again as the next one's docs. All but the
 last return the columns of documents.
+
+Defined results of every stage: an empty table gives none; a null text is one without words
+and stays null; no length of text is cut; rows with a null doc_id stay, as nothing is known of
+them by id (the toxicity stage judges them by their text); further columns, whatever their
+names, pass through unless a stage says otherwise.
 """
 
 from __future__ import annotations
@@ -28,13 +33,24 @@ def _unpacked(df: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops toxic documents; those without a word stay."""
+    """Drops toxic documents, row by row.
+
+    Those without a word stay, and so do all where the labels don't hold both classes: then
+    there is no model to reject one by.
+    """
     labels = shipped(spark).read.parquet(f"{sf_dir}/labels.parquet")
-    return _unpacked(toxicity.scored(_packed(docs), toxicity.fit(docs, labels)).where(F.col("score") < TOXIC), docs)
+    model = toxicity.fit(docs, labels)
+    if isinstance(model, float):
+        return docs
+    wordless = ~F.coalesce(F.col("text").rlike(toxicity.WORD), F.lit(False))
+    return _unpacked(toxicity.scored(_packed(docs), model).where((F.col("score") < TOXIC) | wordless), docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest doc_id of each group of near copies (five words, 0.8)."""
+    """Keeps the document of the smallest doc_id of each group of near copies (five words, 0.8).
+
+    Documents without words are in no group. Rows that repeat a doc_id stay or go together.
+    """
     shipped(spark)
     links = jaccard_join.links(docs, width=5, similarity=0.8)
     # Only documents with a link that are not their group's smallest go; all others need no row here.
@@ -43,14 +59,17 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold benchmark windows in a twentieth of their words or more."""
+    """Drops documents that hold benchmark windows in a twentieth of their words or more.
+
+    Rows that repeat a doc_id go together if the hits of all of them are so many of one's words.
+    """
     benchmark = shipped(spark).read.parquet(f"{sf_dir}/benchmark.parquet")
     bad = decontaminate.contamination(docs, benchmark, slop=0).where("contaminated").select("doc_id").distinct()
     return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks secrets in the texts; n_chars follows."""
+    """Masks secrets in the texts, row by row; the n_chars of texts that are masked follows."""
     shipped(spark)
     found, _ = secret_scan.scan(_packed(docs), keep=pinned)
     text, hit = secret_scan.redact(F.col("text"), F.col("findings")), F.size("findings") > 0
@@ -63,7 +82,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds ids (little-endian unsigned 32-bit integers) and their number."""
+    """Adds ids (little-endian unsigned 32-bit integers) and their number, n_tokens, row by row; columns of these names are replaced. A null text has none."""
     import public_tokenizers
 
     shipped(spark)
