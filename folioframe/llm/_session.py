@@ -6,11 +6,26 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Empties what a Python worker remembers between tasks of one operator.
+_REMEMBERED: list[Callable[[], None]] = []
+
+
+def remembered(forget: Callable[[], None]) -> None:
+    _REMEMBERED.append(forget)
+
+
+def forget() -> None:
+    """Called where another operator's task begins in a worker: memos of the one before only take room there."""
+    for f in _REMEMBERED:
+        f()
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of the session; one of our own only where none is set and all runs on this machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)

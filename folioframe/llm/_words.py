@@ -14,6 +14,8 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
+from ._session import forget
+
 U = np.uint64
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -84,6 +86,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def word_chunks(column: pa.Array, seps: np.ndarray, max_bytes: int = 2 * PIECE, lower: bool = True, beginnings: tuple[int, ...] = ()) -> Iterator[Words]:
     """Words of all rows, in chunks of whole rows of about max_bytes."""
+    forget()
     offsets, data = text_buffers(column)
     low, rows = 0, len(offsets) - 1
     while low < rows:

@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._session import remembered
+
 MEMO = 250_000
 #: A blank between two characters that no definition of \s takes as space: a border of the pattern's matches.
 _BORDER = re.compile(r"(?<=\S) (?=\S)")
@@ -70,6 +72,12 @@ class Vocabulary:
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Starts all memos anew, which gives their room back."""
+        if self.words or self.pieces or self.fits:
+            self.fits, self.pieces, self.words = {}, {}, {}
+            pa.default_memory_pool().release_unused()
+
     def _merge(self, piece: bytes, below: int) -> list[bytes]:
         """Merges of rank under `below`, lowest first, leftmost first."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
@@ -183,7 +191,9 @@ class Vocabulary:
 @lru_cache(maxsize=2)
 def vocabulary(path: str, pattern: str) -> Vocabulary:
     """One per Python worker."""
-    return Vocabulary(path, pattern)
+    made = Vocabulary(path, pattern)
+    remembered(made.forget)
+    return made
 
 
 #: Rows that leave a worker at a time.
