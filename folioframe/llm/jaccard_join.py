@@ -413,7 +413,8 @@ def _unsettled(stars: DataFrame, joined: DataFrame, sizes: DataFrame, docs: Data
     placed = pinned(placed)
     per_star = placed.groupBy("pivot").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n"), F.sum("compared").alias("compared"), F.min("component").alias("x"), F.max("component").alias("y"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / MEMBERS), F.ceil(F.col("n") / SHINGLES)).cast("int")
-    unsettled = per_star.where("x <> y AND size - compared > 1").select("pivot", blocks.alias("blocks"))
+    # Members that were compared with the pivot alone may still be similar to each other.
+    unsettled = per_star.where("x <> y AND (size > 2 OR compared = 0)").select("pivot", blocks.alias("blocks"))
     rows = placed.select("pivot", "doc", "component").join(unsettled, "pivot").withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     rows = pinned(rows.select("pivot", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "component"))
