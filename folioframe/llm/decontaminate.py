@@ -9,7 +9,8 @@ the term at item position q is aligned at p - q. An item is laid out in overlapp
 of 64 positions, each window within one, so the terms met are bits of a whole number: a
 document and a stretch whose bits hold no window are given up at once. Of the others the
 lists are intersected by offset: at one offset for exact phrases, whose places are then
-compared word by word, and at offsets within slop of each other for proximity.
+compared word by word, and, for proximity, at offsets within slop of each other, by a window that
+slides over the sorted offsets.
 
 Everything is DataFrame and SQL functions. Postings are keyed by document as well as term
 wherever they are grouped, so a passage that a third of all documents hold is no group in
@@ -38,6 +39,8 @@ LOOKUPS = 4
 STRETCH = 64 - (WINDOW - 1)
 #: The length record's place in the index; no word is empty.
 LENGTH = ""
+#: Words from one block of a text to the next; a block has 64 more, so that each stretch lies within one.
+BLOCK = 256
 BROADCAST_WORDS = 2_000_000
 FILTER_BITS = 23
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -95,50 +98,63 @@ def _masks(planned: DataFrame) -> DataFrame:
     return each.select("item", "stretch", bits.alias("mask")).groupBy("item", "stretch").agg(F.collect_set("mask").alias("masks"))
 
 
-def _holding(df: DataFrame, by: list[str]) -> DataFrame:
-    """The groups whose bits hold one of their masks."""
-    met = df.groupBy(*by).agg(F.bit_or("bit").alias("seen"), F.first("masks").alias("masks"))
-    return met.where(F.exists("masks", lambda m: F.col("seen").bitwiseAND(m) == m)).select(*by)
+def _held(bits: Column) -> Column:
+    """Whether the bits hold one of the masks."""
+    return F.exists("masks", lambda m: bits.bitwiseAND(m) == m)
 
 
 def met_in(index: DataFrame, planned: DataFrame, bench: Benchmark) -> DataFrame:
-    """(doc_id, item, stretch, masks, delta, bit): all postings of documents and stretches that hold the terms of a window, anywhere."""
+    """(doc_id, item, stretch, masks, delta, bits): the offsets, with the terms met there, of all documents and stretches that hold the terms of a window, anywhere."""
     at = F.floor(F.col("q") / STRETCH)
     also = F.when((F.col("q") % STRETCH < 64 - STRETCH) & (at > 0), at - 1)
     chosen = bench.looked_up(planned).withColumn("stretch", F.explode(F.array(at, also))).where("stretch IS NOT NULL")
     chosen = chosen.select("item", "q", "term", "stretch", F.expr(f"shiftleft(1L, cast(q - stretch * {STRETCH} AS int))").alias("bit"))
     posted = index.join(bench.hinted(chosen), "term").select("doc_id", "item", "stretch", "bit", (F.col("pos") - F.col("q")).alias("delta"))
-    lists = posted.groupBy("doc_id", "item", "stretch").agg(F.bit_or("bit").alias("seen"), F.collect_list(F.struct("delta", "bit")).alias("places"))
-    held = lists.join(bench.hinted(_masks(planned)), ["item", "stretch"]).where(F.exists("masks", lambda m: F.col("seen").bitwiseAND(m) == m))
-    return held.select("doc_id", "item", "stretch", "masks", F.explode("places").alias("place")).select("doc_id", "item", "stretch", "masks", "place.delta", "place.bit")
+    # One shuffle: what follows groups and sorts within (document, item, stretch), and gathers no list.
+    by = ["doc_id", "item", "stretch"]
+    offsets = posted.repartition(*by).groupBy(*by, "delta").agg(F.bit_or("bit").alias("bits"))
+    seen = offsets.withColumn("seen", F.bit_or("bits").over(Window.partitionBy(*by)))
+    return seen.join(bench.hinted(_masks(planned)), ["item", "stretch"]).where(_held(F.col("seen"))).select(*by, "masks", "delta", "bits")
 
 
 def aligned(met: DataFrame) -> DataFrame:
-    """(doc_id, item, delta) where all lookups of a window meet at one offset, as in an exact phrase."""
-    return _holding(met, ["doc_id", "item", "stretch", "delta"]).select("doc_id", "item", "delta").distinct()
+    """(doc_id, item, stretch, delta) where all lookups of a window meet at one offset, as in an exact phrase."""
+    return met.where(_held(F.col("bits"))).select("doc_id", "item", "stretch", "delta")
 
 
 def near(met: DataFrame, slop: int) -> DataFrame:
-    """(doc_id, item) where all lookups of a window meet at offsets within slop of each other."""
-    at = F.floor(F.col("delta") / slop)  # parts of 2 * slop that overlap by half hold any two offsets within slop
-    return _holding(met.withColumn("delta", F.explode(F.array(at, at - 1))), ["doc_id", "item", "stretch", "delta"]).select("doc_id", "item").distinct()
+    """(doc_id, item) where all lookups of a window meet at offsets within slop of each other: a window slides over the sorted offsets."""
+    ahead = Window.partitionBy("doc_id", "item", "stretch").orderBy("delta").rangeBetween(0, slop)
+    return met.withColumn("within", F.bit_or("bits").over(ahead)).where(_held(F.col("within"))).select("doc_id", "item").distinct()
 
 
 def occurrences(docs: DataFrame, candidates: DataFrame, bench: Benchmark) -> DataFrame:
-    """(doc_id, item, item_id, start, length): every place where a window occurs in full."""
+    """(doc_id, item, item_id, start, length): every place where a window occurs in full.
+
+    Texts are laid out in overlapping blocks of words, and each candidate place is joined with
+    the one block that holds its stretch: a place is compared over 64 words, whatever the
+    lengths of the text and the item, and however many places a text has.
+    """
     slot = f"(xxhash64(doc_id) & {(1 << FILTER_BITS) - 1})"
     bits = candidates.selectExpr(f"shiftright({slot}, 6) AS word", f"shiftleft(1L, cast({slot} & 63 AS int)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits"))
     # At most 2**17 rows: texts that hold no candidate stay where they are.
     texts = docs.withColumn("word", F.expr(f"shiftright({slot}, 6)")).join(F.broadcast(bits), "word").where(f"shiftright(bits, cast({slot} & 63 AS int)) & 1 = 1")
-    places = candidates.groupBy("doc_id").agg(F.collect_list(F.struct("item", "delta")).alias("places"))
-    here = texts.select("doc_id", "text").join(places, "doc_id").select("doc_id", words(F.col("text")).alias("doc_words"), "places")
-    here = here.select("doc_id", "doc_words", F.explode("places").alias("place")).select("doc_id", "doc_words", "place.item", "place.delta")
-    here = here.join(bench.hinted(bench.items), "item")
-    first = F.greatest(F.lit(0), -F.col("delta"))
-    last = F.least(F.size("item_words"), F.size("doc_words") - F.col("delta"))
-    here = here.withColumn("first", first).withColumn("n", last - first).withColumn("length", F.least(F.size("item_words"), F.lit(WINDOW))).where("n >= length")
-    same = F.zip_with(F.slice("doc_words", F.col("first") + F.col("delta") + 1, F.col("n")), F.slice("item_words", F.col("first") + 1, F.col("n")), lambda x, y: x == y)
-    here = here.select("doc_id", "item", "item_id", "length", (F.col("first") + F.col("delta")).alias("at"), same.alias("same"))
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size("doc_words") - 1) / BLOCK).cast("int")),
+        lambda b: F.array_join(F.slice("doc_words", b * BLOCK + 1, BLOCK + 64), " "),  # no word holds a blank
+    )
+    laid = texts.select("doc_id", words(F.col("text")).alias("doc_words")).where("size(doc_words) > 0").select("doc_id", F.posexplode(blocks).alias("block", "block_words"))
+    # Where in the document the stretch begins, or what of it lies within the text.
+    begin = F.greatest(F.lit(0), F.col("delta") + F.col("stretch") * STRETCH).cast("long")
+    places = candidates.select("doc_id", "item", "stretch", "delta", begin.alias("at")).withColumn("block", F.floor(F.col("at") / BLOCK).cast("int"))
+    here = places.join(laid, ["doc_id", "block"]).withColumn("block_words", F.split("block_words", " ")).join(bench.hinted(bench.items), "item")
+    first, own = (F.col("at") - F.col("delta")).cast("int"), (F.col("at") - F.col("block") * BLOCK).cast("int")
+    here = here.select(
+        "doc_id", "item", "item_id", "at", F.least(F.size("item_words"), F.lit(WINDOW)).alias("length"),
+        F.slice("block_words", own + 1, 64).alias("x"), F.slice("item_words", first + 1, 64).alias("y"),
+    )
+    n = F.least(F.size("x"), F.size("y"))
+    here = here.withColumn("same", F.zip_with(F.slice("x", 1, n), F.slice("y", 1, n), lambda x, y: x == y)).where("size(same) >= length")
     begins = F.filter(F.sequence(F.lit(0), F.size("same") - F.col("length")), lambda i: F.forall(F.slice("same", i + 1, F.col("length")), lambda x: x))
     return here.select("doc_id", "item", "item_id", "length", "at", F.explode(begins).alias("i")).select("doc_id", "item", "item_id", (F.col("at") + F.col("i")).alias("start"), "length").distinct()
 

@@ -69,11 +69,6 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "n_near_items")
 
 
-def op6_near_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op6_decontaminate under its earlier name, from when that had no proximity half."""
-    return op6_decontaminate(spark, sf_dir)
-
-
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import judged
 
@@ -118,7 +113,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_license_scan, op3_secret_scan, op4_sharding, op5_toxicity, op6_decontaminate, op6_near_items, op7_quality_rules, op8_token_counts, op9_lm_score, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_license_scan, op3_secret_scan, op4_sharding, op5_toxicity, op6_decontaminate, op7_quality_rules, op8_token_counts, op9_lm_score, op10_byte_bpe)}
 
 
 _OP6_SQL = r"""
@@ -149,10 +144,16 @@ WITH d AS (
 ), post AS (
   SELECT doc_id, p, term FROM (SELECT doc_id, unnest(w) AS term, unnest(range(0, len(w))) AS p FROM d) WHERE term IN (SELECT term FROM look)
 ), part AS (
-  SELECT DISTINCT doc_id, item, s, q, need, unnest([h, h - 1]) AS h FROM (SELECT doc_id, item, s, q, need, floor((p - q) / 5.0)::BIGINT AS h FROM post JOIN look USING (term))
+  SELECT DISTINCT doc_id, item, s, q, need, p - q AS delta FROM post JOIN look USING (term)
 ), near AS (
   SELECT doc_id, count(DISTINCT item_id) + max((item_id IS NULL)::INT) AS n_near_items
-  FROM (SELECT DISTINCT doc_id, item FROM (SELECT doc_id, item FROM part GROUP BY doc_id, item, s, need, h HAVING count(*) = need)) JOIN item USING (item) GROUP BY doc_id
+  FROM (
+    SELECT DISTINCT doc_id, item FROM (
+      SELECT x.doc_id, x.item, x.s, x.need, x.delta
+      FROM (SELECT DISTINCT doc_id, item, s, need, delta FROM part) x
+      JOIN part y ON y.doc_id = x.doc_id AND y.item = x.item AND y.s = x.s AND y.delta BETWEEN x.delta AND x.delta + 5
+      GROUP BY x.doc_id, x.item, x.s, x.need, x.delta HAVING count(DISTINCT y.q) = x.need)
+  ) JOIN item USING (item) GROUP BY doc_id
 )
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
        (coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w)) AS contaminated, coalesce(n_near_items, 0)::BIGINT AS n_near_items
@@ -194,4 +195,4 @@ FROM leaf JOIN r USING (doc_id) JOIN l ON l.d = leaf.d AND l.prefix = r.h >> (60
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": _OP1_SQL, "op4_sharding": _OP4_SQL, "op6_decontaminate": _OP6_SQL, "op6_near_items": _OP6_SQL}
+    return {"op1_ngram_jaccard_join": _OP1_SQL, "op4_sharding": _OP4_SQL, "op6_decontaminate": _OP6_SQL}

@@ -128,14 +128,65 @@ def test_license_pruning_loses_nothing():
             assert not rules.telling.isdisjoint(t)
 
 
-def test_near_items_are_registered(spark):
-    from folioframe.llm.queries import queries
-
-    d = "/root/testdata/sf0.001"
-    exact, near = (queries()[n](spark, d) for n in ("op6_decontaminate", "op6_near_items"))
-    rows = near.collect()
-    assert sorted(tuple(r) for r in exact.collect()) == sorted(tuple(r) for r in rows)
-    assert all(r.n_near_items >= r.n_items for r in rows) and any(r.n_near_items for r in rows)
+def test_near_items_wherever_they_stand(spark):
+    """A passage shifted by 0 to 9 words, with 0 to 12 words put into it: near exactly if they are five at most."""
+    from folioframe.llm.decontaminate import contamination
+
+    item = spark.createDataFrame([(1, "t0 t1 t2 t3")], "item_id long, text string")
+    cases = [(shift, gap) for shift in range(10) for gap in range(13)]
+    texts = [" ".join([f"f{i}" for i in range(shift)] + ["t0", "t1", "t2"] + [f"g{i}" for i in range(gap)] + ["t3"]) for shift, gap in cases]
+    got = {x.doc_id: x.n_near_items for x in contamination(documents(spark, texts), item, slop=5).collect()}
+    assert got == {7 * i: int(gap <= 5) for i, (_, gap) in enumerate(cases)}
+
+
+def test_decontamination_of_one_repeated_word(spark):
+    """A long text and items of one repeated word: every offset is a candidate place, none copies the text."""
+    from folioframe.llm.decontaminate import contamination
+
+    items = spark.createDataFrame([(1, "la " * 13), (2, "la " * 200), (3, "la " * 5 + "li")], "item_id long, text string")
+    texts = ["la " * 5000, "la " * 12, "li " + "la " * 199 + "li", "la " * 300 + "lo " * 700]
+    got = {x.doc_id: (x.n_words, x.n_hit, list(x["items"])) for x in contamination(documents(spark, texts), items).collect()}
+    want = brute_contamination(texts, [(1, "la " * 13), (2, "la " * 200), (3, "la " * 5 + "li")])
+    assert got == {7 * i: x[:3] for i, x in enumerate(want)}
+
+
+@pytest.mark.parametrize(("width", "share", "members"), [(4, 0.85, None), (5, 0.8, None), (4, 0.85, 2)])
+def test_jaccard_join_of_small_families(spark, monkeypatch, width, share, members):
+    """Families of three to six texts that differ in some words, in all orders of ids: members that miss their pivot may meet each other."""
+    from folioframe.llm import jaccard_join as J
+
+    if members:
+        monkeypatch.setattr(J, "MEMBERS", members)
+    r, families, texts = random.Random(width), [], []
+    for f in range(60 if members else 1000):
+        base = [f"w{f}x{i}" for i in range(r.choice([9, 9, 12, 20, 40]))]
+        if f % 4 == 0:  # a, a and one word more, a and another one: the last two are not alike
+            base = base[: {4: 9, 5: 9}[width]]
+            family = [" ".join(base), " ".join([*base, "p"]), " ".join([*base, "b"])]
+        else:
+            family = []
+            for _ in range(r.randint(3, 6)):
+                w = list(base)
+                for _ in range(r.choice([0, 1, 1, 2])):
+                    at = r.choice([0, len(w) - 1, r.randrange(len(w))])
+                    w[at : at + r.randint(0, 1)] = [f"e{r.randrange(4)}"]
+                family.append(" ".join(w))
+        r.shuffle(family)
+        families.append(range(len(texts), len(texts) + len(family)))
+        texts += family
+    want = {}
+    for family in families:
+        sets = {i: {tuple(texts[i].split()[k : k + width]) for k in range(len(texts[i].split()) - width + 1)} for i in family}
+        component = {i: i for i in family}
+        for i in family:
+            for j in family:
+                if 100 * len(sets[i] & sets[j]) >= round(100 * share) * len(sets[i] | sets[j]) and component[i] != component[j]:
+                    a, b = sorted((component[i], component[j]))
+                    component = {k: a if c == b else c for k, c in component.items()}
+        want |= {7 * i: 7 * c for i, c in component.items()}
+    got = {r.doc_id: r.component_id for r in J.jaccard_components(documents(spark, texts), width, share).collect()}
+    assert [i for i in want if got[i] != want[i]] == [] and len(got) == len(want)
+    assert 0 < sum(i != c for i, c in want.items()) < len(want) - len(families) // 10
 
 
 def test_license_texts_and_wrapped_headers(spark):
