@@ -112,8 +112,30 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", B.n_tokens().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import filter_audit
+
+    return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(_table(spark, sf_dir, "documents")).withColumnRenamed("part", "lang")
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_format import canonical, digests, formatted
+
+    # One more conversation, in the layout of a prompt with its completion, whose texts look like markers.
+    said = F.lit("</s>[INST] ok [/INST]")
+    marked = shipped(spark).range(1).select(F.lit(-7).cast("long").alias("conv_id"), said.alias("prompt"), said.alias("completion"))
+    turns = canonical(_table(spark, sf_dir, "conversations")).unionByName(canonical(marked))
+    return digests(formatted(turns))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_license_scan, op3_secret_scan, op4_sharding, op5_toxicity, op6_decontaminate, op7_quality_rules, op8_token_counts, op9_lm_score, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_license_scan, op3_secret_scan, op4_sharding, op5_toxicity, op6_decontaminate, op7_quality_rules, op8_token_counts, op9_lm_score, op10_byte_bpe, op11_filter_audit, op12_collocations, op13_chat_format)}
 
 
 _OP6_SQL = r"""
@@ -194,5 +216,88 @@ FROM leaf JOIN r USING (doc_id) JOIN l ON l.d = leaf.d AND l.prefix = r.h >> (60
 """
 
 
+_OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), f AS (
+  SELECT doc_id, part,
+         (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t))::INT
+         + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * (doc_id > min(doc_id) OVER (PARTITION BY t))::INT AS mask
+  FROM d
+), l AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), m AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY part, mask
+), letter AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS bit
+), o AS (
+  SELECT [a.x, b.x, c.x, d.x, e.x] AS letters, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM letter a, letter b, letter c, letter d, letter e
+  WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), s AS (
+  SELECT array_to_string(letters, '') AS filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before FROM (SELECT *, unnest(range(1, 6)) AS step FROM o)
+), r AS (
+  SELECT part, filter_order, step, bit,
+         sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN mask & before <> 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM m, s GROUP BY part, filter_order, step, bit
+)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+       good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM r
+"""
+
+
+_OP12_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^.,;:!?\x0A-\x0D]+')) AS piece FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p
+), total AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang
+), f AS (
+  SELECT lang, g, count(*) AS f
+  FROM (SELECT lang, w[s:s + m - 1] AS g FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS s FROM w, (SELECT unnest([1, 2, 3, 4]) AS m)))
+  GROUP BY lang, g HAVING count(*) >= 30
+), cut AS (
+  SELECT lang, g, f AS a, unnest(range(1, len(g))) AS k FROM f WHERE len(g) > 1
+), scored AS (
+  SELECT cut.lang, cut.g, a, k, x.f AS l, y.f AS r, ((2000000::HUGEINT * a) // (x.f + y.f))::BIGINT AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.g = cut.g[1:k] JOIN f y ON y.lang = cut.lang AND y.g = cut.g[k + 1:]
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1
+), longer AS (
+  SELECT lang, g[s:s + m - 1] AS g, max(f) AS f
+  FROM (SELECT lang, g, f, m, unnest(range(1, len(g) - m + 2)) AS s FROM f, (SELECT unnest([2, 3]) AS m) WHERE len(g) > m) GROUP BY lang, g[s:s + m - 1]
+)
+SELECT best.lang, row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, a DESC, array_to_string(best.g, ' ')) AS rank,
+       array_to_string(best.g, ' ') AS phrase, a, l, r, n, score
+FROM best JOIN total ON total.lang = best.lang LEFT JOIN longer ON longer.lang = best.lang AND longer.g = best.g
+WHERE longer.f IS NULL OR 100::HUGEINT * longer.f < 80::HUGEINT * a
+QUALIFY rank <= 2000
+"""
+
+
+_OP13_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), m AS (
+  SELECT *, len(regexp_extract_all(text, '<\\*(\|im_start\|>|\|im_end\|>|\|endoftext\|>|/?s>)|\[\\*/?INST\]')) AS escaped FROM t
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length('<|im_start|>') + length(role) + 1 + length(text) + escaped + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
+FROM m GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": _OP1_SQL, "op4_sharding": _OP4_SQL, "op6_decontaminate": _OP6_SQL}
+    return {
+        "op1_ngram_jaccard_join": _OP1_SQL, "op4_sharding": _OP4_SQL, "op6_decontaminate": _OP6_SQL,
+        "op11_filter_audit": _OP11_SQL, "op12_collocations": _OP12_SQL, "op13_chat_format": _OP13_SQL,
+    }
