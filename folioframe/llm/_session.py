@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 #: Empties what a Python worker remembers between tasks of one operator.
@@ -43,11 +44,26 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as Parquet in the shared folder, read again."""
+def written(df: DataFrame, *by: str) -> DataFrame:
+    """df as Parquet in the shared folder, read again; in a folder for each value of the columns `by`."""
     place = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(place)
-    return df.sparkSession.read.schema(df.schema).parquet(place)
+    df.write.option("compression", "zstd").partitionBy(*by).parquet(place)
+    schema = StructType([f for f in df.schema if f.name not in by] + [df.schema[c] for c in by])
+    return df.sparkSession.read.schema(schema).parquet(place)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the folder of a table that `written` has made and that nothing reads any more."""
+    spark = df.sparkSession
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-"
+    for folder in {root + f.split("/table-", 1)[1].split("/")[0] for f in df.inputFiles() if "/table-" in f}:
+        remove(spark, folder)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of ours within the shared one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shipped(spark: SparkSession) -> SparkSession:

@@ -6,8 +6,11 @@ belongs to the unit of its ending. Units are put into classes by the company the
 (counts of which frequent word stands before them, over all training texts). A log-bilinear
 model predicts the next token's class from the vectors of the tokens before it, through one
 matrix per distance; it is trained in numpy by noise-contrastive estimation on every token of
-every training text in each round, each task on its own texts, and the tasks' parameters are averaged, round by
-round. Scores are normalised: a softmax over all classes by one matrix product per batch,
+every training text in each round. The objective's expectation over the noise is a sum over all
+classes, so nothing is drawn. Texts are dealt into SHARDS by a hash of the row and kept as their
+units, two bytes a token; a step sums the gradients of one shard, in whatever tasks its texts lie,
+and the parameters take it by Adam: the model is the same, but for the rounding of sums, however
+the texts are partitioned, and takes SHARDS * ROUNDS steps at every size of the corpus. Scores are normalised: a softmax over all classes by one matrix product per batch,
 times the unit's share in its class, times the word's in its unit, where an unseen word has
 the place of one more word of its unit.
 
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._session import pinned
+from ._session import discard, pinned, written
 from ._words import BLANKS, U, Words, mix, word_chunks
 
 #: Frequent words that are units of their own, and units by ending for all others.
@@ -44,7 +47,9 @@ KNOWN = 1 << 16
 STEPS, SLOT = 16, 20
 #: Words before a token by which units are put into classes.
 COMPANY = 96
-NOISE, RATE, ROUNDS, BATCH = 24, 0.15, 2, 1024
+#: Noise tokens to one of the text; Adam's rate, which falls to a tenth, and its memory; tokens of a matrix product.
+NOISE, RATE, MEMORY, BATCH = 24, 0.2, (0.9, 0.95), 2048
+ROUNDS, SHARDS = 2, 12
 END = U(0x9E0D)
 
 
@@ -122,24 +127,44 @@ def _before(units: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.stack([np.where(place > j, padded[CONTEXT - 1 - j : len(padded) - 1 - j], END_UNIT) for j in range(CONTEXT)], axis=1)
 
 
-def _company(shared):
-    """(text) -> (unit, before, n): how often a unit stands after a frequent word."""
+def _encoding(shared):
+    """(shard, text) -> (shard, units): the units of a chunk's texts of one shard, two bytes each, every text's end included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, table = shared.value, np.zeros((UNITS, COMPANY), np.int64)
+        vocabulary = shared.value
         for batch in batches:
+            shard = batch.column("shard").to_numpy()
             for words, ending in _tokens(batch.column("text")):
                 units, _, counts = vocabulary.units(words, ending)
-                before = _before(units, counts)
-                for j in range(CONTEXT):
-                    near = before[:, j] < COMPANY
-                    table += np.bincount(units[near] * COMPANY + before[near, j], minlength=UNITS * COMPANY).reshape(UNITS, COMPANY)
-        unit, near = np.nonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(unit.astype(np.int32)), pa.array(near.astype(np.int32)), pa.array(table[unit, near])], ["unit", "before", "n"])
+                of = np.repeat(shard[words.low : words.high], counts)
+                order = np.argsort(of, kind="stable")
+                borders = np.searchsorted(of[order], np.arange(SHARDS + 1))
+                dealt = units[order].astype(np.uint16)
+                held = np.flatnonzero(np.diff(borders))
+                yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array([dealt[borders[k] : borders[k + 1]].tobytes() for k in held], pa.binary())], ["shard", "units"])
 
     return run
 
 
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(units, those before each) of every row."""
+    for batch in batches:
+        for raw in batch.column("units"):
+            units = np.frombuffer(raw.as_buffer(), np.uint16).astype(np.int64)
+            yield units, _before(units, np.diff(np.flatnonzero(units == END_UNIT), prepend=-1))
+
+
+def _company(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(units) -> (unit, before, n): how often a unit stands after a frequent word."""
+    table = np.zeros((UNITS, COMPANY), np.int64)
+    for units, before in _decoded(batches):
+        for j in range(CONTEXT):
+            near = before[:, j] < COMPANY
+            table += np.bincount(units[near] * COMPANY + before[near, j], minlength=UNITS * COMPANY).reshape(UNITS, COMPANY)
+    unit, near = np.nonzero(table)
+    yield pa.RecordBatch.from_arrays([pa.array(unit.astype(np.int32)), pa.array(near.astype(np.int32)), pa.array(table[unit, near])], ["unit", "before", "n"])
+
+
 def _classes(table: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """A class for each unit: k-means of the units' company, the most frequent units first as centres."""
     share = (table + 0.1) / (table + 0.1).sum(1, keepdims=True)
@@ -181,8 +206,7 @@ class LogBilinear:
         self.share = class_share
 
     def rows(self) -> np.ndarray:
-        """All parameters, one row per vector."""
-        return np.concatenate([self.unit, self.at, self.target, np.resize(np.append(self.bias, np.zeros(-len(self.bias) % SIZE, np.float32)), (-(-CLASSES // SIZE), SIZE))])
+        return _rows_of(self.unit, self.at, self.target, self.bias)
 
     def take(self, rows: np.ndarray) -> None:
         a, b, c = UNITS, UNITS + CONTEXT, UNITS + CONTEXT + CLASSES
@@ -200,64 +224,77 @@ class LogBilinear:
         np.exp(z - top[:, None], out=z)
         return own - top - np.log(z.sum(1))
 
-    def train(self, before: np.ndarray, target: np.ndarray, rng: np.random.Generator, rate: float) -> None:
-        """One step of noise-contrastive estimation; the batch shares its noise."""
-        n = len(target)
-        noise = rng.choice(CLASSES, NOISE, p=self.share)
+    def gradient(self, before: np.ndarray, target: np.ndarray, into: list[np.ndarray]) -> None:
+        """Adds the tokens' gradients of the noise-contrastive objective to those of (unit, at, target, bias); the noise counts by its expectation."""
         x = self.unit[before]
         q = sum(x[:, j] * self.at[j] for j in range(CONTEXT))
-        log_k = np.log(NOISE * self.share + 1e-12).astype(np.float32)
-        near, far = self.target[target], self.target[noise]
-        own = np.einsum("ij,ij->i", q, near) + (self.bias - log_k)[target]
-        other = q @ far.T
-        other += (self.bias - log_k)[noise]
-        g_own = 1 / (1 + np.exp(np.clip(own, -30, 30)))
-        np.clip(other, -30, 30, out=other)
-        np.negative(other, out=other)
-        np.exp(other, out=other)
-        other += 1
-        g_other = np.divide(-1, other, out=other)
-        g_q = g_own[:, None] * near
-        g_q += g_other @ far
-        g_target, g_bias = np.zeros_like(self.target), np.bincount(target, g_own, minlength=CLASSES).astype(np.float32)
-        key, sums = _summed(target, g_own[:, None] * q)
-        g_target[key] = sums
-        np.add.at(g_target, noise, g_other.T @ q)
-        np.add.at(g_bias, noise, g_other.sum(0))
-        step = rate / n * 8
+        noise = (NOISE * self.share).astype(np.float32)
+        z = q @ self.target.T
+        z += self.bias - np.log(noise + 1e-12)
+        np.clip(z, -30, 30, out=z)
+        own = 1 / (1 + np.exp(z[np.arange(len(z)), target]))  # how far a token is from being told from noise
+        np.negative(z, out=z)
+        np.exp(z, out=z)
+        z += 1
+        g = np.divide(-noise, z, out=z)
+        g[np.arange(len(g)), target] += own
+        g_q = g @ self.target
+        into[2] += g.T @ q
+        into[3] += g.sum(0)
         for j in range(CONTEXT):
-            g_x = np.clip(g_q * self.at[j], -1, 1)
-            self.at[j] += step * 0.1 * np.einsum("ij,ij->j", g_q, x[:, j])
-            key, sums = _summed(before[:, j], g_x)
-            self.unit[key] += step * 8 * sums
-        self.target += step * g_target
-        self.bias += step * g_bias
+            into[1][j] += np.einsum("ij,ij->j", g_q, x[:, j])
+            key, sums = _summed(before[:, j], g_q * self.at[j])
+            into[0][key] += sums
+
 
+def _rows_of(unit: np.ndarray, at: np.ndarray, target: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """All parameters (or their gradients), one row per vector."""
+    return np.concatenate([unit, at, target, np.resize(np.append(bias, np.zeros(-len(bias) % SIZE, bias.dtype)), (-(-CLASSES // SIZE), SIZE))])
 
-def _training(shared, rate: float, turn: int):
-    """(text) -> (row, v0, ...): parameters that this task's texts have trained, times the number of its steps."""
+
+def _gradients(shared):
+    """(units) -> (row, v0, ..., tokens): the gradient of this task's tokens, a row per vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, of, rows, share = shared.value
+        of, rows, share = shared.value
         model = LogBilinear(share)
         model.take(rows)
-        rng, steps = np.random.default_rng((11, turn)), 0
-        for batch in batches:
-            for words, ending in _tokens(batch.column("text")):
-                units, _, counts = vocabulary.units(words, ending)
-                before = _before(units, counts)
-                chosen = rng.permutation(len(units))
-                for i in range(0, len(chosen), BATCH):
-                    at = chosen[i : i + BATCH]
-                    model.train(before[at], of[units[at]], rng, rate)
-                    steps += 1
-        if steps:
-            out = model.rows().astype(np.float64) * steps
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out), dtype=np.int32)), *(pa.array(np.ascontiguousarray(x)) for x in out.T), pa.array(np.full(len(out), float(steps)))], ["row", *(f"v{i}" for i in range(SIZE)), "steps"])
+        sums, n = [np.zeros(x.shape) for x in (model.unit, model.at, model.target, model.bias)], 0
+        for units, before in _decoded(batches):
+            for i in range(0, len(units), BATCH):
+                model.gradient(before[i : i + BATCH], of[units[i : i + BATCH]], sums)
+            n += len(units)
+        if n:
+            out = _rows_of(*sums)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out), dtype=np.int32)), *(pa.array(np.ascontiguousarray(x)) for x in out.T), pa.array(np.full(len(out), n))], ["row", *(f"v{i}" for i in range(SIZE)), "tokens"])
 
     return run
 
 
+def _trained(model: LogBilinear, of: np.ndarray, encoded: DataFrame) -> LogBilinear:
+    """ROUNDS times over all shards, a step each."""
+    spark, values = encoded.sparkSession, [f"v{i}" for i in range(SIZE)]
+    rows = model.rows().astype(np.float64)
+    mean, square, step, last = np.zeros_like(rows), np.zeros_like(rows), 0, ROUNDS * SHARDS
+    for _ in range(ROUNDS):
+        for shard in range(SHARDS):
+            model.take(rows)
+            now = spark.sparkContext.broadcast((of, model.rows(), model.share))
+            each = encoded.where(F.col("shard") == shard).select("units").mapInArrow(_gradients(now), f"row int, {', '.join(f'{v} double' for v in values)}, tokens long")
+            summed = each.groupBy("row").agg(*((F.sum(v) / F.sum("tokens")).alias(v) for v in values)).orderBy("row").toPandas()  # a row per vector of the model
+            now.destroy()
+            step += 1
+            if not len(summed):
+                continue
+            gradient = summed[values].to_numpy()
+            mean = MEMORY[0] * mean + (1 - MEMORY[0]) * gradient
+            square = MEMORY[1] * square + (1 - MEMORY[1]) * gradient**2
+            rate = RATE * (1 - 0.9 * (step - 1) / last)
+            rows = rows + rate * (mean / (1 - MEMORY[0] ** step)) / (np.sqrt(square / (1 - MEMORY[1] ** step)) + 1e-9)
+    model.take(rows)
+    return model
+
+
 class Scorer:
     """Everything that scores a batch; goes to all executors, its size set by UNITS."""
 
@@ -295,19 +332,15 @@ def fit(training: DataFrame) -> tuple[Scorer, DataFrame]:
     counts = pinned(texts.mapInArrow(_counting, "word long, unit int, n long").groupBy("word").agg(F.min("unit").alias("unit"), F.sum("n").alias("n")))
     vocabulary = Vocabulary(counts, texts.count())
     shared = spark.sparkContext.broadcast(vocabulary)
-    company = texts.mapInArrow(_company(shared), "unit int, before int, n long").groupBy("unit", "before").agg(F.sum("n").alias("n")).toPandas()  # at most UNITS * COMPANY rows
+    dealt = training.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SHARDS)).alias("shard"), "text")
+    encoded = written(dealt.mapInArrow(_encoding(shared), "shard int, units binary"), "shard")
+    company = encoded.select("units").mapInArrow(_company, "unit int, before int, n long").groupBy("unit", "before").agg(F.sum("n").alias("n")).toPandas()  # at most UNITS * COMPANY rows
     table = np.zeros((UNITS, COMPANY))
     table[company["unit"], company["before"]] = company["n"]
     of = _classes(table, vocabulary.unit_n)
     share = np.bincount(of, vocabulary.unit_n + 0.5, minlength=CLASSES)
-    model = LogBilinear(share / share.sum())
-    for turn in range(ROUNDS):
-        now = spark.sparkContext.broadcast((vocabulary, of, model.rows(), model.share))
-        columns = ", ".join(f"v{i} double" for i in range(SIZE))
-        trained = texts.mapInArrow(_training(now, RATE / (1 + turn), turn), f"row int, {columns}, steps double")
-        mean = trained.groupBy("row").agg(*((F.sum(f"v{i}") / F.sum("steps")).alias(f"v{i}") for i in range(SIZE))).orderBy("row").toPandas()
-        if len(mean):
-            model.take(mean[[f"v{i}" for i in range(SIZE)]].to_numpy())
+    model = _trained(LogBilinear(share / share.sum()), of, encoded)
+    discard(encoded)
     return Scorer(vocabulary, of, model), counts
 
 

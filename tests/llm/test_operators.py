@@ -437,26 +437,63 @@ def test_lm_score(spark):
     assert sum(np.exp(scorer.model.log_softmax(before, np.array([k])))[0] for k in range(L.CLASSES)) == pytest.approx(1, abs=1e-4)
 
 
-def test_lm_trains_on_every_token(monkeypatch):
-    from types import SimpleNamespace
-
+def test_lm_trains_on_every_token(spark, monkeypatch):
+    """Each round's steps take every token once."""
     import numpy as np
-    import pyarrow as pa
 
     from folioframe.llm import lm_score as L
 
-    met, draws = [], []
-    monkeypatch.setattr(L.LogBilinear, "train", lambda self, before, target, rng, rate: (met.append(len(target)), draws.append(rng.random())))
-    text = "one two three four five six seven"
-    vocabulary = L.Vocabulary.__new__(L.Vocabulary)
-    vocabulary.words, vocabulary.unit_n = np.zeros(0, np.uint64), np.zeros(L.UNITS)
+    taken = spark.sparkContext.accumulator(0)
+    docs = documents(spark, corpus(30))
+    n = sum(len(words(low(t))) + 1 for t in corpus(30))
+    own = L._gradients
+
+    def counting(shared):
+        run = own(shared)
+
+        def counted(batches):
+            for batch in run(batches):
+                taken.add(batch.column("tokens")[0].as_py())
+                yield batch
+
+        return counted
+
+    monkeypatch.setattr(L, "_gradients", counting)
+    L.fit(docs)
+    assert taken.value == L.ROUNDS * n
     share = np.full(L.CLASSES, 1 / L.CLASSES)
-    shared = SimpleNamespace(value=(vocabulary, np.zeros(L.UNITS, np.int64), L.LogBilinear(share).rows(), share))
-    batch = pa.RecordBatch.from_pydict({"text": [text] * 500})
-    for turn in range(L.ROUNDS):
-        assert sum(1 for _ in L._training(shared, 0.1, turn)(iter([batch]))) == 1
-    assert sum(met) == L.ROUNDS * 500 * 8  # seven words and the end
-    assert len(set(draws)) == len(draws)
+    model, r = L.LogBilinear(share), np.random.default_rng(3)
+    before, target = r.integers(0, L.UNITS, (40, L.CONTEXT)), r.integers(0, L.CLASSES, 40)
+
+    def objective(m):
+        z = m.predicted(before) @ m.target.T + m.bias - np.log(L.NOISE * share)
+        return np.log(1 / (1 + np.exp(-z[np.arange(40), target]))).sum() + (L.NOISE * share * np.log(1 / (1 + np.exp(z)))).sum()
+
+    sums = [np.zeros(x.shape) for x in (model.unit, model.at, model.target, model.bias)]
+    model.gradient(before, target, sums)
+    for k, name in enumerate(("unit", "at", "target", "bias")):
+        x = getattr(model, name).astype(np.float64)
+        place = np.unravel_index(np.abs(sums[k]).argmax(), x.shape)
+        both = []
+        for d in (1e-3, -1e-3):
+            moved = x.copy()
+            moved[place] += d
+            setattr(model, name, moved)
+            both.append(objective(model))
+        setattr(model, name, x.astype(np.float32))
+        assert (both[0] - both[1]) / 2e-3 == pytest.approx(sums[k][place], rel=2e-2)
+
+
+def test_lm_model_whatever_the_partitioning(spark):
+    from folioframe.llm import lm_score as L
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = []
+    for n in (1, 8, 64):
+        parts = docs.repartition(n)
+        scorer, counts = L.fit(parts.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 1))
+        found.append({r.doc_id: r.score / r.n_tokens for r in L.scored(parts, scorer, counts).collect()})
+    assert max(abs(x[i] - found[0][i]) for x in found[1:] for i in x) < 0.01
 
 
 def test_lm_score_of_nothing(spark):
