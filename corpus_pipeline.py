@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioframe.llm import byte_bpe, decontaminate, jaccard_join, secret_scan, toxicity
-from folioframe.llm._session import ensure_checkpoint_dir, pinned, shipped
+from folioframe.llm._session import ensure_checkpoint_dir, pinned, remove, shipped
 from folioframe.llm.components import components
 
 #: A document that scores at least this is toxic.
@@ -77,12 +77,16 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = _unpacked(masked, docs)
     if "n_chars" in docs.columns:
         n = F.when(F.col("hit"), F.length("text")).otherwise(F.col("__row")["n_chars"]).cast(docs.schema["n_chars"].dataType)
-        out = masked.select(*(F.col("text") if c == "text" else n.alias(c) if c == "n_chars" else F.col("__row")[c].alias(c) for c in docs.columns))
+        of = {"text": F.col("text"), "n_chars": n}
+        out = masked.select(*(of.get(c, F.col("__row")[c]).alias(c) for c in docs.columns))
     return out
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds ids (little-endian unsigned 32-bit integers) and their number, n_tokens, row by row; columns of these names are replaced. A null text has none."""
+    """Adds ids (little-endian unsigned 32-bit integers) and their number, n_tokens, row by row.
+
+    Columns of these names are replaced. A null text has none.
+    """
     import public_tokenizers
 
     shipped(spark)
@@ -113,5 +117,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if i == len(STAGES) - 1:
             return out
         out.write.parquet(f"{folder}/{i}-{name}")
+        if i:  # nothing reads the stage before's any more
+            remove(spark, f"{folder}/{i - 1}-{STAGES[i - 1][0]}")
         docs = spark.read.parquet(f"{folder}/{i}-{name}")
     return docs
