@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioframe.functions import rules as R
 from folioframe.functions import text as X
+from folioframe.keeping import kept
 
 
 def keyword_weights(documents: DataFrame, top: int = R.TOP_KEYWORDS, stopwords=R.KNOWLEDGE_STOPWORDS) -> DataFrame:
@@ -98,9 +101,17 @@ def relations(documents: DataFrame, values: DataFrame, ranks: dict[str, int] = R
     s, t = side("s").alias("x"), side("t").alias("y")
     apart = s.join(t, F.col("s_field").eqNullSafe(F.col("t_field")) & (F.col("s") != F.col("t")) & ~F.col("s_type").eqNullSafe(F.col("t_type")))
     apart = apart.withColumn("kind", relation_type(F.lit(0), ranks)).where("kind IS NOT NULL").drop("kind").join(both.select("s", "t"), ["s", "t"], "left_anti")
-    rows = met.unionByName(apart.withColumn("shared", F.lit(0).cast("long")).withColumn("evidence", F.lit("")), allowMissingColumns=True).withColumn("kind", relation_type(F.col("shared"), ranks)).where("kind IS NOT NULL")
+    return _finished(met.unionByName(apart.withColumn("shared", F.lit(0).cast("long")).withColumn("evidence", F.lit("")), allowMissingColumns=True), ranks)
+
+
+def _finished(pairs: DataFrame, ranks: dict[str, int]) -> DataFrame:
+    """The relations of ordered pairs (s, t, shared, evidence, and both sides' type and field)."""
+    rows = pairs.withColumn("kind", relation_type(F.col("shared"), ranks)).where("kind IS NOT NULL")
     weight = F.greatest(F.lit(1), F.col("shared")).cast("double")
-    forward = rows.select(F.col("s").alias("source_id"), F.col("t").alias("target_id"), F.col("kind").alias("relation_type"), weight.alias("weight"), F.lit(1.0).alias("confidence"), F.lit(False).alias("is_bidirectional"), "evidence")
+    forward = rows.select(
+        F.col("s").alias("source_id"), F.col("t").alias("target_id"), F.col("kind").alias("relation_type"), weight.alias("weight"),
+        F.lit(1.0).alias("confidence"), F.lit(False).alias("is_bidirectional"), "evidence",
+    )
     # The mirror of a forward edge s -> t with s > t comes later and replaces the row of its key.
     late = F.least(F.lit(1.0), 0.5 + F.col("weight") * 0.1)
     mirrors = forward.where("relation_type IN ('related', 'references') AND source_id > target_id").select(
@@ -110,6 +121,111 @@ def relations(documents: DataFrame, values: DataFrame, ranks: dict[str, int] = R
     return forward.join(mirrors.select(*key), key, "left_anti").unionByName(mirrors)
 
 
+#: Entity types whose values make a document's class: they have few different values, each held by many documents.
+CLASS_TYPES = ("document_type", "agency", "person", "field")
+
+
+class RelationClasses(NamedTuple):
+    """The relations of all documents, factorised: no row stands for a pair of documents.
+
+    members: (doc_id, class, document_type, field), a row per document.
+    classes: (class, document_type, field, values, n_documents): documents of equal type, field
+    and equal class values (of all values, those that some document has as a class value).
+    pairs: (s, t, shared, values, relation_type, n_pairs), a row per ordered pair of classes whose
+    documents are related whatever else they hold; shared and values tell what the classes have
+    in common, relation_type what two documents are that share no other value.
+    postings: (v, doc_id, n_documents): all other values that more than one document holds.
+    """
+
+    members: DataFrame
+    classes: DataFrame
+    pairs: DataFrame
+    postings: DataFrame
+
+
+def relation_classes(documents: DataFrame, values: DataFrame, ranks: dict[str, int] = R.TYPE_RANKS, class_types=CLASS_TYPES) -> RelationClasses:
+    """The relations of `relations`, factorised. documents: doc_id, document_type, field; values: doc_id, entity_type, entity_value.
+
+    Two documents share what their classes share and, disjoint from it, what they share of all
+    other values. Class values are counted per class before classes meet, so a value that a
+    third of all documents hold is a row per class; other values stay an inverted index.
+    """
+    low = values.select("doc_id", "entity_type", F.lower("entity_value").alias("v"))
+    known = low.where(F.col("entity_type").isin(*class_types)).select("v").distinct().withColumn("of_class", F.lit(True))
+    held = kept(low.select("doc_id", "v").distinct().join(known, "v", "left"))
+    signed = held.where("of_class").groupBy("doc_id").agg(F.sort_array(F.collect_list("v")).alias("values"))
+    own = documents.select("doc_id", "document_type", "field").join(signed, "doc_id", "left").withColumn("values", F.coalesce("values", F.array().cast("array<string>")))
+    own = kept(own.withColumn("class", F.sha2(F.to_json(F.struct("document_type", "field", "values")), 256)))
+    members = own.select("doc_id", "class", "document_type", "field")
+    classes = kept(own.groupBy("class", "document_type", "field", "values").agg(F.count(F.lit(1)).alias("n_documents")))
+
+    other = held.where("of_class IS NULL").select("v", "doc_id")
+    postings = other.join(other.groupBy("v").agg(F.count(F.lit(1)).alias("n_documents")).where("n_documents > 1"), "v").select("v", "doc_id", "n_documents")
+
+    by_value = classes.select("class", F.explode("values").alias("v"))
+    met = by_value.select(F.col("class").alias("s"), "v").join(by_value.select(F.col("class").alias("t"), "v"), "v")
+    shared = met.groupBy("s", "t").agg(F.count(F.lit(1)).alias("shared"), F.sort_array(F.collect_list("v")).alias("values"))
+    side = lambda c: classes.select(F.col("class").alias(c), F.col("document_type").alias(f"{c}_type"), F.col("field").alias(f"{c}_field"), F.col("n_documents").alias(f"n_{c}"))
+    fielded = side("s").join(side("t"), F.col("s_field").eqNullSafe(F.col("t_field"))).select("s", "t")
+    all_pairs = shared.select("s", "t").unionByName(fielded).distinct().join(shared, ["s", "t"], "left")
+    all_pairs = all_pairs.join(side("s"), "s").join(side("t"), "t").withColumn("shared", F.coalesce("shared", F.lit(0).cast("long")))
+    n = F.col("n_s") * F.when(F.col("s") == F.col("t"), F.col("n_t") - 1).otherwise(F.col("n_t"))
+    pairs = all_pairs.withColumn("relation_type", relation_type(F.col("shared"), ranks)).withColumn("n_pairs", n).where("relation_type IS NOT NULL AND n_pairs > 0")
+    pairs = pairs.select("s", "t", "shared", F.coalesce("values", F.array().cast("array<string>")).alias("values"), "relation_type", "n_pairs")
+    return RelationClasses(members, classes, kept(pairs), postings)
+
+
+def _beyond(f: RelationClasses, sources: DataFrame | None) -> DataFrame:
+    """(s, t, more): the values that two documents share beyond their classes, for the given sources."""
+    left = f.postings.select("v", F.col("doc_id").alias("s"))
+    if sources is not None:
+        left = left.join(sources.select(F.col("doc_id").alias("s")), "s", "left_semi")
+    met = left.join(f.postings.select("v", F.col("doc_id").alias("t")), "v").where("s <> t")
+    return met.groupBy("s", "t").agg(F.collect_list("v").alias("more"))
+
+
+def _sided(pairs: DataFrame, f: RelationClasses) -> DataFrame:
+    """Pairs (s, t, more) with both sides' type, field and class, shared values and evidence, in both directions."""
+    side = lambda c: f.members.select(F.col("doc_id").alias(c), F.col("class").alias(f"{c}_class"), F.col("document_type").alias(f"{c}_type"), F.col("field").alias(f"{c}_field"))
+    both = pairs.join(side("s"), "s").join(side("t"), "t")
+    common = f.pairs.select(F.col("s").alias("s_class"), F.col("t").alias("t_class"), "values")
+    both = both.join(common, ["s_class", "t_class"], "left")
+    listed = F.concat(F.coalesce("more", F.array().cast("array<string>")), F.coalesce("values", F.array().cast("array<string>")))
+    both = both.withColumn("shared", F.size(listed).cast("long")).withColumn("evidence", F.array_join(F.slice(F.sort_array(listed), 1, 8), ", "))
+    one = both.select("s", "t", "shared", "evidence", "s_type", "t_type", "s_field", "t_field")
+    other = both.select(F.col("t").alias("s"), F.col("s").alias("t"), "shared", "evidence", F.col("t_type").alias("s_type"), F.col("s_type").alias("t_type"), F.col("t_field").alias("s_field"), F.col("s_field").alias("t_field"))
+    return one.unionByName(other).dropDuplicates(["s", "t"])
+
+
+def expanded(f: RelationClasses, ranks: dict[str, int] = R.TYPE_RANKS) -> DataFrame:
+    """All relations of all documents, as `relations` has them: as many rows as there are pairs."""
+    of = lambda c: f.members.select(F.col("doc_id").alias(f"{c}_id"), F.col("class").alias(c))
+    met = f.pairs.select("s", "t").join(of("s"), "s").join(of("t"), "t").where("s_id <> t_id").select(F.col("s_id").alias("s"), F.col("t_id").alias("t"))
+    return _finished(_sided(met.join(_beyond(f, None), ["s", "t"], "full"), f), ranks)
+
+
+def top_relations(f: RelationClasses, sources: DataFrame, max_per_source: int = 10, ranks: dict[str, int] = R.TYPE_RANKS) -> DataFrame:
+    """The relations of each given source (doc_id) of most weight, then to the smallest target, with their rank.
+
+    Targets that share values beyond the classes come from the inverted index. All other targets
+    of one class have equal weight, so of each class that a source is related to only its
+    max_per_source smallest documents can be among the best: they come from a table of so many
+    rows a class, and no pair of documents besides is made.
+    """
+    w = Window.partitionBy("class").orderBy("doc_id")
+    # Smallest of each of 64 shares first, so that a class of a third of all documents is no task's alone.
+    salted = f.members.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(64)))
+    few = salted.withColumn("r", F.row_number().over(Window.partitionBy("class", "salt").orderBy("doc_id"))).where(F.col("r") <= max_per_source + 1)
+    few = few.withColumn("r", F.row_number().over(w)).where(F.col("r") <= max_per_source + 1)  # one more: a source is no target of its own
+    asked = f.members.join(sources.select("doc_id").distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("s"), F.col("class").alias("s_class"))
+    near = f.pairs.select(F.col("s").alias("s_class"), F.col("t").alias("class")).join(few.select("class", F.col("doc_id").alias("t")), "class")
+    alone = asked.join(near, "s_class").where("s <> t").select("s", "t")
+    met = alone.join(_beyond(f, sources), ["s", "t"], "full")
+    found = _finished(kept(_sided(met, f)), ranks).join(sources.select(F.col("doc_id").alias("source_id")).distinct(), "source_id", "left_semi")
+    best = Window.partitionBy("source_id").orderBy(F.desc("weight"), "target_id", "relation_type")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= max_per_source)
+
+
 def graph(documents: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of the knowledge graph."""
     nodes = documents.select(F.col("doc_id").alias("id"), F.col("title").alias("label"), F.col("document_type").alias("type"), "field")

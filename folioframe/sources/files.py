@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioframe.functions import rules as R
+from folioframe.keeping import kept
 
 ENCODINGS = ["utf-8", "utf-8-sig", "cp1258", "cp1252"]
 
@@ -27,14 +28,6 @@ def scan_folder(spark: SparkSession, root: str) -> DataFrame:
     return classified(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root))
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df worked out once: in the folder of spark.checkpoint.dir, or cached where none is set."""
-    context, folder = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if context.getCheckpointDir() is None and folder:
-        context.setCheckpointDir(folder)
-    return df.checkpoint() if context.getCheckpointDir() else df.persist()
-
-
 def with_checksum(files: DataFrame) -> DataFrame:
     return files.withColumn("checksum", F.sha2("content", 256))
 
