@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import NamedTuple
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +15,7 @@ from folioframe.functions import rules as R
 from folioframe.functions import text as X
 from folioframe.operators import vectors as V
 from folioframe.operators.metadata import is_internal
+from folioframe.operators.ranking import Points, best
 
 
 def classified(requests: DataFrame, intents=R.INTENTS, threshold: float = R.LOW_CONFIDENCE) -> DataFrame:
@@ -33,87 +31,6 @@ def classified(requests: DataFrame, intents=R.INTENTS, threshold: float = R.LOW_
     return df.withColumn("requires_user_selection", F.col("confidence") < threshold)
 
 
-#: Requests that go to all executors at a time, requests and candidates that are compared at a time.
-REQUESTS, BLOCK, CHUNK = 1 << 15, 1 << 11, 1 << 11
-
-
-class Points(NamedTuple):
-    """What a candidate gets for the request's type and field, for each shared word and for all of them, and at most; whether one of another type is none."""
-
-    type: int
-    field: int
-    word: int
-    words: int
-    most: int
-    same_type: bool
-
-
-def _blocks(requests: pa.Table) -> list[tuple]:
-    """Per BLOCK requests: their numbers, the requests that hold each word, types and fields."""
-    out = []
-    for low in range(0, requests.num_rows, BLOCK):
-        part = requests.slice(low, BLOCK).to_pydict()
-        holders: dict[str, list[int]] = {}
-        for i, words in enumerate(part["words"]):
-            for w in words or ():
-                holders.setdefault(w, []).append(i)
-        places = lambda values: {v: np.array([x == v for x in values]) for v in set(values) if v}
-        untyped = np.array([not x for x in part["type"]])
-        out.append((low, {w: np.array(x, np.int32) for w, x in holders.items()}, places(part["type"]), places(part["field"]), untyped))
-    return out
-
-
-def _best(requests: DataFrame, candidates: DataFrame, k: int, points: Points) -> DataFrame:
-    """(request_id, cand_id, points, rank): each request's k candidates of most points, the newest first among equals, then those of the highest id.
-
-    requests: request_id, words, type, field. candidates: cand_id, words, type, field, extra (points of its own), at.
-    Requests are a stated set, sent to the executors in bounded parts; each task keeps a chunk's k best
-    of each request, so what is shuffled has no row per pair.
-    """
-    q = requests.select("request_id", "words", "type", "field")
-    parts = max(1, -(-q.count() // REQUESTS))
-    q = q.withColumn("part", F.pmod(F.xxhash64("request_id"), F.lit(parts)))
-    key = T.StructType([T.StructField("n", T.IntegerType()), *(T.StructField(c, candidates.schema[c].dataType) for c in ("cand_id", "at")), T.StructField("points", T.IntegerType())])
-    spark, out = requests.sparkSession, None
-    for_type, for_field, for_word, for_words, most, same_type = points  # workers need not find this module
-    for part in range(parts):
-        table = q.where(F.col("part") == part).drop("part").toArrow()
-        blocks = spark.sparkContext.broadcast(_blocks(table))
-
-        def run(batches: Iterator[pa.RecordBatch], blocks=blocks) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                # The order among equals: the newest first, then the highest id.
-                batch = batch.take(pc.sort_indices(batch, [("at", "descending"), ("cand_id", "descending")]))
-                for start in range(0, batch.num_rows, CHUNK):
-                    chunk = batch.slice(start, CHUNK)
-                    words, kinds, fields = (chunk.column(c).to_pylist() for c in ("words", "type", "field"))
-                    extra = chunk.column("extra").to_numpy()
-                    for low, holders, types, of_field, untyped in blocks.value:
-                        n, none = len(untyped), np.zeros(len(untyped), bool)
-                        won = np.empty((chunk.num_rows, n), np.int64)
-                        for i in range(chunk.num_rows):
-                            met = [holders[w] for w in words[i] or () if w in holders]
-                            shared = np.bincount(np.concatenate(met), minlength=n) if met else np.zeros(n, np.int64)
-                            same = types.get(kinds[i], none)
-                            won[i] = np.minimum(np.minimum(shared * for_word, for_words) + same * for_type + of_field.get(fields[i], none) * for_field + extra[i], most)
-                            if same_type:
-                                won[i, ~(same | untyped)] = -1
-                        first = np.arange(chunk.num_rows)[::-1, None]
-                        ranked = won * chunk.num_rows + first  # all different, earlier ones before later ones of equal points
-                        top = np.argpartition(-ranked, min(k, chunk.num_rows) - 1, axis=0)[:k]
-                        got = np.take_along_axis(won, top, axis=0)
-                        at, who = np.nonzero(got >= 0)
-                        rows = pa.array(top[at, who])
-                        yield pa.RecordBatch.from_arrays([pa.array((who + low).astype(np.int32)), chunk.column("cand_id").take(rows), chunk.column("at").take(rows), pa.array(got[at, who].astype(np.int32))], ["n", "cand_id", "at", "points"])
-
-        found = candidates.select("cand_id", "words", "type", "field", "extra", "at").mapInArrow(run, key)
-        ids = table.select(["request_id"]).append_column("n", pa.array(range(table.num_rows), pa.int32()))
-        found = found.join(F.broadcast(spark.createDataFrame(ids)), "n")  # at most REQUESTS rows
-        out = found if out is None else out.unionByName(found)
-    w = Window.partitionBy("request_id").orderBy(F.desc("points"), F.desc("at"), F.desc("cand_id"))
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("request_id", "cand_id", "points", "rank")
-
-
 def _shared(a: Column, b: Column) -> Column:
     """The first five of the words that both hold, in order."""
     return F.array_join(F.slice(F.sort_array(F.array_intersect(a, b)), 1, 5), ", ")
@@ -136,8 +53,8 @@ def ranked_documents(requests: DataFrame, documents: DataFrame, k: int = 5, text
         (F.when(internal, 25).otherwise(0) + F.when(ready, 10).otherwise(0)).alias("extra"), F.col("updated_at").alias("at"), internal.alias("internal"),
     )
     asked = requests.select("request_id", F.array_distinct(X.folded_tokens(F.col("request_text"))).alias("words"), X.folded(F.col("document_type")).alias("type"), none.alias("field"))
-    best = _best(asked, cand, k, Points(35, 0, 6, 30, 100, False)).where("points > 0")
-    rows = best.join(asked.select("request_id", F.col("words").alias("r_words"), F.col("type").alias("r_type")), "request_id").join(cand.select("cand_id", "words", "type", "internal"), "cand_id")
+    found = best(asked, cand, k, Points(35, 0, 6, 30, 100, False)).where("points > 0")
+    rows = found.join(asked.select("request_id", F.col("words").alias("r_words"), F.col("type").alias("r_type")), "request_id").join(cand.select("cand_id", "words", "type", "internal"), "cand_id")
     same, shared = F.coalesce((F.col("type") == F.col("r_type")) & (F.col("type") != ""), F.lit(False)), _shared(F.col("words"), F.col("r_words"))
     reason = _reason(texts, F.when(same, texts["type"]), F.when(F.col("internal"), texts["internal"]), F.when(shared != "", F.concat(F.lit(texts["words"]), shared)))
     return rows.select("request_id", F.col("cand_id").alias("doc_id"), (F.col("points") / 100).alias("score"), reason.alias("reason"), "rank")
@@ -149,8 +66,8 @@ def ranked_templates(requests: DataFrame, templates: DataFrame, k: int = 5, text
     ready = F.coalesce(F.col("status") == R.ANALYSED, F.lit(False))
     cand = templates.select(F.col("template_id").alias("cand_id"), F.array_distinct(X.tokens(text)).alias("words"), F.col("document_type").alias("type"), "field", F.when(ready, 8).otherwise(0).alias("extra"), F.col("created_at").alias("at"), ready.alias("ready"))
     asked = requests.select("request_id", F.array_distinct(X.tokens(F.col("request_text"))).alias("words"), F.col("document_type").alias("type"), "field")
-    best = _best(asked, cand, k, Points(35, 25, 8, 32, 100, True))
-    rows = best.join(asked.select("request_id", *(F.col(c).alias(f"r_{c}") for c in ("words", "type", "field"))), "request_id").join(cand.select("cand_id", "words", "type", "field", "ready"), "cand_id")
+    found = best(asked, cand, k, Points(35, 25, 8, 32, 100, True))
+    rows = found.join(asked.select("request_id", *(F.col(c).alias(f"r_{c}") for c in ("words", "type", "field"))), "request_id").join(cand.select("cand_id", "words", "type", "field", "ready"), "cand_id")
     same = lambda c: (F.col(f"r_{c}") != "") & (F.col(c) == F.col(f"r_{c}"))
     shared = _shared(F.col("words"), F.col("r_words"))
     reason = _reason(texts, F.when(same("type"), texts["type"]), F.when(same("field"), texts["field"]), F.when(shared != "", F.concat(F.lit(texts["words"]), shared)), F.when(F.col("ready"), texts["ready"]))
