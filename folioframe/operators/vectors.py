@@ -2,25 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from folioframe.functions import rules as R
 from folioframe.functions import text as X
 
-#: Query vectors that go to all executors at a time; more are searched in blocks of so many.
-QUERY_BLOCK = 2000
-#: Chunks that are scored at a time.
-CHUNK = 2048
-
-
 def normalized(v: Column, digits: int = 8) -> Column:
     """Unit length, rounded; a zero vector as it is."""
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
@@ -66,43 +55,12 @@ def embedded(chunks: DataFrame, cache: DataFrame, backend: str = "hash", version
 def top_k(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, vec_id, score, rank): the k best chunks of each query; ties by vec_id. Vectors of different lengths score 0.
 
-    Queries are a stated small set against all chunks: blocks of QUERY_BLOCK go to the
-    executors, scores are matrix products, and every task keeps the k best of its chunks per
-    query before the shuffle.
+    An index of the chunks, searched exactly; where chunks are searched again and again, build
+    it once with `vector_index.build`.
     """
-    parts = max(1, -(-queries.count() // QUERY_BLOCK))
-    q = queries.select("query_id", "vector", F.pmod(F.xxhash64("query_id"), F.lit(parts)).alias("part"))
-    kind = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("vec_id", chunks.schema["vec_id"].dataType), T.StructField("score", T.DoubleType())])
-    spark, rows, out = queries.sparkSession, CHUNK, None
-    for part in range(parts):
-        block = q.where(F.col("part") == part).select("query_id", "vector").toArrow()
-        shared = spark.sparkContext.broadcast([v or [] for v in block.column("vector").to_pylist()])
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            asked = {d: [i for i, v in enumerate(shared.value) if len(v) == d] for d in {len(v) for v in shared.value}}
-            asked = {d: (np.array(at), np.array([shared.value[i] for i in at], float).reshape(len(at), d)) for d, at in asked.items()}
-            for batch in batches:
-                batch = batch.take(pc.sort_indices(batch, [("vec_id", "ascending")]))
-                for low in range(0, batch.num_rows, rows):
-                    some = batch.slice(low, rows)
-                    vectors, n = some.column("vector"), some.num_rows
-                    sizes = np.nan_to_num(vectors.value_lengths().to_numpy(zero_copy_only=False), nan=-1).astype(int)
-                    scores = np.zeros((n, len(shared.value)))
-                    for d in set(sizes.tolist()) & asked.keys():
-                        mine, (at, wanted) = np.flatnonzero(sizes == d), asked[d]
-                        flat = vectors.take(pa.array(mine)).flatten().to_numpy(zero_copy_only=False)
-                        scores[np.ix_(mine, at)] = np.round(flat.reshape(len(mine), d) @ wanted.T, 6)
-                    # All different, of equal scores the smaller id first.
-                    order = np.rint(scores * 1e6).astype(np.int64) * n + np.arange(n)[::-1, None]
-                    best = np.argpartition(-order, min(k, n) - 1, axis=0)[:k]
-                    who = np.broadcast_to(np.arange(len(shared.value), dtype=np.int32), best.shape)
-                    yield pa.RecordBatch.from_arrays([pa.array(who.ravel()), some.column("vec_id").take(pa.array(best.ravel())), pa.array(np.take_along_axis(scores, best, axis=0).ravel())], ["n", "vec_id", "score"])
-
-        ids = block.select(["query_id"]).append_column("n", pa.array(range(block.num_rows), pa.int32()))
-        found = chunks.select("vec_id", "vector").mapInArrow(run, kind).join(F.broadcast(spark.createDataFrame(ids)), "n")  # at most about QUERY_BLOCK rows
-        out = found if out is None else out.unionByName(found)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.select("query_id", "vec_id", "score").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    from folioframe.operators import vector_index as I
+
+    return I.search(I.build(chunks, k), queries, k)
 
 
 def cited(hits: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
