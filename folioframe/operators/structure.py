@@ -7,59 +7,60 @@ from pyspark.sql import functions as F
 
 from folioframe.functions import rules as R
 from folioframe.functions import text as X
+from folioframe.keeping import kept
+from folioframe.operators import chunking as C
 
 
 def section_of(line: Column, rules=R.SECTION_RULES) -> Column:
     return X.first_rule(line, rules, "(?iu)")
 
 
+#: Characters from which on a document is cut into ranges of so many lines, which several tasks may work on.
+LONG, RANGE = 1 << 20, 4096
+
+
 def chunks(documents: DataFrame, rules=R.SECTION_RULES, max_tokens: int = R.MAX_CHUNK_TOKENS) -> DataFrame:
     """(doc_id, chunk_order, section, text, token_count).
 
     A chunk begins at every line that opens a section, and where the next line would take it
-    over max_tokens; a longer single line stays whole. One fold over the lines of a document,
-    inside its row: nothing is shuffled.
+    over max_tokens; a longer single line stays whole. Documents of fewer than LONG characters
+    are chunked within their row and nothing is shuffled; longer ones by ranges of lines.
     """
-    line = F.transform(X.lines(F.col("text")), lambda x: F.struct(x.alias("line"), F.size(X.tokens(x)).alias("n"), section_of(x, rules).alias("opens")))
-    kind = "struct<section:string,text:string,token_count:int>"
-    start = F.struct(F.array().cast(f"array<{kind}>").alias("done"), F.lit("body").alias("section"), F.array().cast("array<string>").alias("buffer"), F.lit(0).alias("n"))
-    held = lambda s: F.struct(s["section"].alias("section"), F.array_join(s["buffer"], "\n").alias("text"), s["n"].alias("token_count"))
-
-    def step(s: Column, x: Column) -> Column:
-        cut = x["opens"].isNotNull() | (s["n"] + x["n"] > max_tokens)
-        flush = cut & (F.size(s["buffer"]) > 0)
-        return F.struct(
-            F.when(flush, F.concat(s["done"], F.array(held(s)))).otherwise(s["done"]).alias("done"),
-            F.coalesce(x["opens"], s["section"]).alias("section"),
-            F.when(flush, F.array(x["line"])).otherwise(F.concat(s["buffer"], F.array(x["line"]))).alias("buffer"),
-            F.when(flush, x["n"]).otherwise(s["n"] + x["n"]).alias("n"),
-        )
-
-    out = F.aggregate(line, start, step, lambda s: F.when(F.size(s["buffer"]) > 0, F.concat(s["done"], F.array(held(s)))).otherwise(s["done"]))
-    return documents.select("doc_id", F.posexplode(out).alias("pos", "c")).select("doc_id", (F.col("pos") + 1).alias("chunk_order"), "c.section", "c.text", "c.token_count")
+    read = lambda lines: [lines.alias("lines"), F.transform(lines, lambda x: F.size(X.tokens(x))).alias("n"), F.transform(lines, lambda x: section_of(x, rules)).alias("opens")]
+    before = [F.lit(C.EMPTY).alias("held"), F.lit(0).cast("long").alias("begun"), F.lit(None).cast("string").alias("section")]
+    is_long = F.coalesce(F.length("text") >= LONG, F.lit(False))
+    short = documents.where(~is_long).select("doc_id", F.lit(0).alias("part"), *read(X.lines(F.col("text"))), *before)
+    out = C.pieces(short, max_tokens, "body").drop("part")
+
+    ranges = documents.where(is_long).select("doc_id", X.lines(F.col("text")).alias("l"))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("l") - 1) / RANGE).cast("int")), lambda i: F.slice("l", i * RANGE + 1, RANGE))
+    ranges = ranges.where("size(l) > 0").select("doc_id", F.posexplode(cut).alias("part", "r")).repartition("doc_id", "part").select("doc_id", "part", *read(F.col("r")))
+    ranges = kept(ranges)
+    placed = ranges.join(C.entries(ranges.select("doc_id", "part", "n", "opens"), max_tokens), ["doc_id", "part"])
+    parts = C.pieces(placed, max_tokens, "body").groupBy("doc_id", "chunk_order").agg(F.sort_array(F.collect_list(F.struct("part", "section", "text", "token_count"))).alias("p"))
+    tokens = F.aggregate("p", F.lit(0), lambda n, p: n + p["token_count"])
+    whole = parts.select("doc_id", "chunk_order", F.get("p", F.lit(0))["section"].alias("section"), F.array_join("p.text", "\n").alias("text"), tokens.alias("token_count"))
+    return out.select("doc_id", "chunk_order", "section", "text", "token_count").unionByName(whole)
 
 
 def template_sections(documents: DataFrame, headings=R.TEMPLATE_HEADINGS, most: int = 20) -> DataFrame:
-    """(doc_id, section_order, section_type, title, content): runs of lines under headings, at most `most` per document."""
+    """(doc_id, section_order, section_type, title, content): runs of lines under headings, at most `most` per document.
+
+    Every heading's run ends at the next heading, so each section is a slice of the lines.
+    """
     signal = lambda x: F.coalesce(*(F.when(F.contains(F.lower(x), F.lit(s.lower())), F.lit(kind)) for s, kind in headings))
     loud = lambda x: (x == F.upper(x)) & (x != F.lower(x)) & (F.length(x) <= 120)
-    line = F.transform(X.lines(F.col("text")), lambda x: F.struct(x.alias("line"), F.coalesce(signal(x), F.when(loud(x), F.lit(R.HEADING))).alias("kind")))
-    part = "struct<section_type:string,title:string,content:string>"
-    start = F.struct(F.array().cast(f"array<{part}>").alias("done"), F.lit(R.OPENING).alias("kind"), F.lit(R.OPENING).alias("title"), F.array().cast("array<string>").alias("buffer"))
-    held = lambda s: F.struct(s["kind"].alias("section_type"), s["title"].alias("title"), F.array_join(s["buffer"], "\n").alias("content"))
-
-    def step(s: Column, x: Column) -> Column:
-        head = x["kind"].isNotNull()
-        return F.struct(
-            F.when(head & (F.size(s["buffer"]) > 0), F.concat(s["done"], F.array(held(s)))).otherwise(s["done"]).alias("done"),
-            F.coalesce(x["kind"], s["kind"]).alias("kind"),
-            F.when(head, F.substring(x["line"], 1, 120)).otherwise(s["title"]).alias("title"),
-            F.when(head, F.array().cast("array<string>")).otherwise(F.concat(s["buffer"], F.array(x["line"]))).alias("buffer"),
-        )
-
-    end = lambda s: F.when((F.size(s["buffer"]) > 0) | (F.size(s["done"]) == 0), F.concat(s["done"], F.array(held(s)))).otherwise(s["done"])
-    out = F.slice(F.aggregate(line, start, step, end), 1, most)
-    return documents.select("doc_id", F.posexplode(out).alias("pos", "s")).select("doc_id", (F.col("pos") + 1).alias("section_order"), "s.section_type", "s.title", "s.content")
+    lines = documents.select("doc_id", X.lines(F.col("text")).alias("lines"))
+    kinds = F.transform("lines", lambda x, i: F.struct((i + 1).alias("start"), F.coalesce(signal(x), F.when(loud(x), F.lit(R.HEADING))).alias("kind"), F.substring(x, 1, 120).alias("title")))
+    opening = F.struct(F.lit(0).alias("start"), F.lit(R.OPENING).alias("kind"), F.lit(R.OPENING).alias("title"))
+    heads = lines.withColumn("heads", F.concat(F.array(opening), F.filter(kinds, lambda h: h["kind"].isNotNull())))
+    long = lambda h, i: F.coalesce(F.get(F.col("heads"), i + 1)["start"] - 1, F.size("lines")) - h["start"]
+    sized = F.transform("heads", lambda h, i: F.struct(h["kind"].alias("section_type"), h["title"].alias("title"), h["start"].alias("start"), long(h, i).alias("n")))
+    filled = heads.withColumn("sized", sized).withColumn("full", F.filter("sized", lambda h: h["n"] > 0))
+    chosen = F.slice(F.when(F.size("full") > 0, F.col("full")).otherwise(F.slice("sized", -1, 1)), 1, most)
+    content = lambda h: F.array_join(F.slice(F.col("lines"), h["start"] + 1, h["n"]), "\n")
+    out = filled.withColumn("chosen", chosen).select("doc_id", F.posexplode(F.transform("chosen", lambda h: F.struct(h["section_type"], h["title"], content(h).alias("content")))).alias("pos", "s"))
+    return out.select("doc_id", (F.col("pos") + 1).alias("section_order"), "s.section_type", "s.title", "s.content")
 
 
 def format_signals(c: Column) -> dict[str, Column]:
