@@ -48,25 +48,87 @@ def live_task_state(updates: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 class _ReviewGate(StatefulProcessor):
+    """Actions by seq, replayed in their order after each batch, from the state of those that can no longer be overtaken.
+
+    An action that comes again has its seq already and changes nothing. With event time, a timer
+    folds the first actions into the state once the watermark has passed them, and forgets them;
+    an action of a seq below those is given back as late.
+    """
+
+    def __init__(self, timed: bool):
+        self.timed = timed
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.now = handle.getValueState("now", "status string, refused int, seq long")
-        self.steps = {(a, b): c for a, b, c in R.REVIEW_STEPS}
+        self.handle = handle
+        self.settled = handle.getValueState("settled", "status string, refused int, seq long")
+        self.waiting = handle.getMapState("waiting", "seq long", "action string, at long")
+        self.steps = {}
+        for now, action, then in R.REVIEW_STEPS:
+            self.steps.setdefault((now, action), then)
+
+    def _settled(self) -> tuple:
+        return tuple(self.settled.get()) if self.settled.exists() else ("pending_outline_review", 0, None)
+
+    def _waiting(self) -> list[tuple]:
+        return sorted((key[0], value[0], value[1]) for key, value in self.waiting.iterator())
+
+    def _played(self, status: str, refused: int, actions: list[tuple]) -> tuple[str, int]:
+        for _, action, _ in actions:
+            then = self.steps.get((status, action))
+            status, refused = (then, refused) if then else (status, refused + 1)
+        return status, refused
+
+    def _rows(self, key: Any, late: list[int], status: str, refused: int) -> pd.DataFrame:
+        out = {"result_id": [key[0]] * (len(late) + 1), "status": [None] * len(late) + [status], "n_refused": pd.array([None] * len(late) + [refused], "Int32")}
+        return pd.DataFrame({**out, **({"late_seq": pd.array([*late, None], "Int64")} if self.timed else {})})
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        status, refused, seq = self.now.get() if self.now.exists() else ("pending_outline_review", 0, -1)
-        for r in pd.concat(list(rows)).sort_values("seq").itertuples(index=False):
-            then = self.steps.get((status, r.action))
-            status, refused, seq = (then, refused, r.seq) if then else (status, refused + 1, r.seq)
-        self.now.update((status, refused, seq))
-        yield pd.DataFrame({"result_id": [key[0]], "status": [status], "n_refused": [refused]})
+        status, refused, last = self._settled()
+        late = []
+        for batch in rows:
+            for r in batch.itertuples(index=False):
+                seq = int(r.seq)
+                if last is not None and seq <= last:
+                    late.append(seq)
+                elif not self.waiting.containsKey((seq,)):
+                    at = int(r.at) if self.timed else 0
+                    self.waiting.updateValue((seq,), (r.action, at))
+                    if self.timed:
+                        self.handle.registerTimer(at)
+        yield self._rows(key, late, *self._played(status, refused, self._waiting()))
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        passed, (status, refused, last), done = timerValues.getCurrentWatermarkInMs(), self._settled(), []
+        for seq, action, at in self._waiting():
+            if at > passed:
+                break  # what follows it may still change
+            done.append((seq, action, at))
+        if done:
+            status, refused = self._played(status, refused, done)
+            self.settled.update((status, refused, done[-1][0]))
+            for seq, _, _ in done:
+                self.waiting.removeKey((seq,))
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-def review_monitor(actions: DataFrame) -> DataFrame:
-    """A stream of actions (result_id, seq, action) -> each result's status and number of refused actions."""
-    return actions.groupBy("result_id").transformWithStateInPandas(statefulProcessor=_ReviewGate(), outputStructType="result_id long, status string, n_refused int", outputMode="Update", timeMode="None")
+def review_monitor(actions: DataFrame, delay: str | None = None) -> DataFrame:
+    """A stream of actions (result_id, seq, action) -> each result's status and number of refused actions, after each batch that touches it.
+
+    The same as `replayed` over all actions so far, in whatever order and how often they come.
+    Without a delay all of a result's actions are kept. With one, actions have a time ts that
+    grows with seq: those that the watermark has passed are folded into the state. Rows older than
+    the watermark are dropped, as Spark's progress counts them (numRowsDroppedByWatermark); a newer one
+    whose seq lies below a folded one is a row of its own with its late_seq and no status. Needs the
+    RocksDB store.
+    """
+    columns = "result_id long, status string, n_refused int"
+    if delay is None:
+        return actions.groupBy("result_id").transformWithStateInPandas(statefulProcessor=_ReviewGate(False), outputStructType=columns, outputMode="Update", timeMode="None")
+    timed = actions.withWatermark("ts", delay).withColumn("at", F.unix_millis("ts"))
+    return timed.groupBy("result_id").transformWithStateInPandas(statefulProcessor=_ReviewGate(True), outputStructType=f"{columns}, late_seq long", outputMode="Update", timeMode="EventTime")
 
 
 def activity(updates: DataFrame, width: str = "1 hour", delay: str = "1 hour") -> DataFrame:

@@ -77,6 +77,46 @@ def test_review_monitor_equals_the_replay(spark, tmp_path):
     assert sorted(map(tuple, spark.table("gates").collect())) == sorted(map(tuple, replayed(log).collect()))
 
 
+def test_review_monitor_in_any_order(spark, tmp_path):
+    """Shuffled, repeated and split into batches, the log gives the replay's rows; what comes after the watermark has passed it is late."""
+    import random
+    from datetime import datetime, timedelta
+
+    from folioframe.operators.drafting import replayed
+    from folioframe.streaming.live import review_monitor
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    r = random.Random(7)
+    names = ["approve_outline", "generate_draft", "save_review", "approve_draft", "export"]
+    day = lambda i: datetime(2024, 1, 1) + timedelta(days=i)
+    log = [(k, seq, r.choice(names) if r.random() < 0.6 else names[seq % 5], day(seq)) for k in range(12) for seq in range(1, 15)]
+    schema = "result_id long, seq long, action string, ts timestamp"
+    want = {x.result_id: (x.status, x.n_refused) for x in replayed(spark.createDataFrame(log, schema).select("result_id", "seq", "action")).collect()}
+
+    def run(name, batches, delay):
+        for i, rows in enumerate(batches):
+            spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}/b{i}")
+        source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/{name}")
+        out = review_monitor(source, delay)
+        seen = []
+        write = lambda df, i: seen.append((i, [tuple(x) for x in df.collect()]))
+        q = out.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{tmp_path}/{name}-ck").trigger(availableNow=True).start()
+        assert q.awaitTermination(240)
+        return [x for _, rows in seen for x in rows]
+
+    shuffled = [*log, *r.sample(log, 60)]
+    r.shuffle(shuffled)
+    last = {x[0]: x[1:] for x in run("any", [shuffled[i::3] for i in range(3)], None)}
+    assert last == want
+    # Within the delay in any order; the last batch's old action comes too late and changes nothing.
+    ordered = sorted(log, key=lambda x: x[1] + r.uniform(-2, 2))
+    batches = [ordered[:80], ordered[80:], [(0, 99, "nothing", day(400))], [(0, 100, "nothing", day(401))], [(3, 1, "export", day(1)), (4, 2, "export", day(399))]]
+    rows = run("timed", batches, "20 days")
+    assert {x[0]: x[1:3] for x in rows if x[3] is None and x[0]} == {k: v for k, v in want.items() if k}
+    assert [x for x in rows if x[3] is not None] == [(4, None, None, 2)]
+    assert {x[0]: x[1:3] for x in rows if x[3] is None}[0] == (want[0][0], want[0][1] + 2)
+
+
 def test_arrivals_are_indexed_once(spark, tmp_path):
     from folioframe.streaming.live import index_arrivals
 
