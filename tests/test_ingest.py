@@ -120,3 +120,25 @@ def test_ingest_of_a_folder(spark, tmp_path):
     assert status["beta.txt"] == "deleted" and sorted(status[x] for x in ("alpha.txt", "copy.txt")) == ["duplicate", "need_review"]
     queries = spark.createDataFrame([(1, "delta")], "query_id long, query_text string")
     assert [x.text for x in I.search_text(store, queries, 1).collect()] == ["delta now"]
+
+
+def test_ingest_of_arriving_files(spark, tmp_path):
+    root, folder, seen = tmp_path / "in", str(tmp_path / "store"), str(tmp_path / "ck")
+    root.mkdir()
+    name = lambda c: F.element_at(F.split(c, "/"), -1)
+    store = I.open_store(spark, folder)
+    state = lambda: dict(rows(store.read("state").select(name("library_document_id"), "status")))
+    run = lambda at: I.ingest_arriving_files(spark, f"file:{root}", folder, at, NOW).awaitTermination(240)
+    (root / "a.txt").write_text("alpha line", encoding="utf-8")
+    (root / "b.txt").write_text("beta line", encoding="utf-8")
+    run(seen)
+    assert state() == {"a.txt": "indexed", "b.txt": "indexed"}
+    os.remove(root / "a.txt")
+    (root / "c.txt").write_text("gamma line", encoding="utf-8")
+    run(seen)
+    assert state() == {"a.txt": "deleted", "b.txt": "indexed", "c.txt": "indexed"}
+    assert dict(rows(store.read("catalogue").select("file_name", "status")))["a.txt"] == "deleted"
+    # A stream whose own record is lost begins again with batch 0: the store has that one.
+    version = store.manifest()["version"]
+    run(seen + "-lost")
+    assert store.manifest()["version"] == version and store.done("arriving") == 1
