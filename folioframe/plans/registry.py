@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _loaded() -> None:
-    from folioframe.plans import document_queries, list_queries, relation_queries, search_queries, task_queries  # noqa: F401  they register themselves
+    from folioframe.plans import document_queries, list_queries, metadata_queries, relation_queries, search_queries, task_queries  # noqa: F401  they register themselves
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
