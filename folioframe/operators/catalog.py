@@ -65,8 +65,14 @@ def duplicates_within(documents: DataFrame, key: str, order: str) -> DataFrame:
     return documents.join(first, key).withColumn("is_duplicate", F.col(order) > F.col("first_id"))
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """old overlaid by new on key; nulls of new never overwrite."""
+def upsert(old: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """old overlaid by new on key; nulls of new never overwrite.
+
+    Of several rows of new of one key the last by the column order counts, of equal ones the
+    greatest as JSON; without an order, keys of new must differ.
+    """
+    if order is not None:
+        new = new.groupBy(key).agg(F.max_by(F.struct(*new.columns), F.struct(order, F.to_json(F.struct(*new.columns)))).alias("__last")).select("__last.*")
     columns = [*old.columns, *(c for c in new.columns if c not in old.columns)]
     o = old.select(F.col(key), F.struct(*old.columns).alias("__o"))
     n = new.select(F.col(key), F.struct(*new.columns).alias("__n"))

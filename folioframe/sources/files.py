@@ -33,15 +33,18 @@ def with_checksum(files: DataFrame) -> DataFrame:
 
 
 def decoded(files: DataFrame) -> DataFrame:
-    """files with read.text, read.encoding, read.status (read, need_ocr, unsupported, failed), read.error: the first encoding that reads the bytes; other formats are unsupported."""
+    """files with read.text, read.encoding, read.status (read, need_ocr, unsupported, failed), read.error: the first encoding that reads the bytes; other formats are unsupported.
+
+    One projection: UTF-8 is read in the JVM, and only texts that are none go to Python.
+    """
 
     @F.pandas_udf("text string, encoding string, error string")
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for contents in batches:
             rows = []
             for raw in contents:
-                row = (None, None, "no encoding reads the bytes")
-                for encoding in ENCODINGS:
+                row = (None, None, None if raw is None else "no encoding reads the bytes")
+                for encoding in ENCODINGS if raw is not None else ():
                     try:
                         row = (bytes(raw).decode(encoding), encoding, None)
                         break
@@ -50,10 +53,16 @@ def decoded(files: DataFrame) -> DataFrame:
                 rows.append(row)
             yield pd.DataFrame(rows, columns=["text", "encoding", "error"])
 
-    text = files.where("file_ext = 'txt'").withColumn("__r", read("content")).select(*files.columns, F.struct("__r.text", "__r.encoding", F.when(F.col("__r.error").isNull(), "read").otherwise("failed").alias("status"), "__r.error").alias("read"))
+    plain, is_text = F.col("content").cast("string"), F.col("file_ext") == "txt"
+    utf8 = is_text & F.coalesce(F.is_valid_utf8(plain), F.lit(False))
+    other = files.withColumn("__r", read(F.when(is_text & ~utf8, F.col("content"))))
     none = F.lit(None).cast("string")
-    rest = files.where("file_ext <> 'txt'").withColumn("read", F.struct(none.alias("text"), none.alias("encoding"), F.lit("unsupported").alias("status"), none.alias("error")))
-    return text.unionByName(rest)
+    status = F.when(~F.coalesce(is_text, F.lit(False)), "unsupported").when(utf8 | F.col("__r.encoding").isNotNull(), "read").otherwise("failed")
+    error = F.when(F.col("content").isNull() & is_text, "no content").otherwise(F.col("__r.error"))
+    out = F.struct(
+        F.when(utf8, plain).otherwise(F.col("__r.text")).alias("text"), F.when(utf8, "utf-8").otherwise(F.col("__r.encoding")).alias("encoding"), status.alias("status"), F.when(status == "failed", error).otherwise(none).alias("error")
+    )
+    return other.withColumn("read", out).drop("__r")
 
 
 def scan_report(states: DataFrame) -> DataFrame:

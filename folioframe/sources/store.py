@@ -118,11 +118,9 @@ class Change:
         from folioframe.operators.catalog import upsert
 
         key = self.store.tables[name].key
-        if order is not None:
-            new = new.groupBy(key).agg(F.max_by(F.struct(*new.columns), F.struct(order, F.to_json(F.struct(*new.columns)))).alias("r")).select("r.*")
-        elif new.groupBy(key).count().where("count > 1").limit(1).count():
+        if order is None and new.groupBy(key).count().where("count > 1").limit(1).count():
             raise ValueError(f"{name}: rows of one {key}; say by what they are ordered")
-        self._rewritten(name, new, lambda old: upsert(old, new, key))
+        self._rewritten(name, new, lambda old: upsert(old, new, key, order))
         return self
 
     def replace(self, name: str, parents: DataFrame, rows: DataFrame) -> Change:

@@ -140,11 +140,6 @@ def _in_batches(stream: DataFrame, index, checkpoint: str):
     return stream.writeStream.foreachBatch(index).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def index_arrivals(documents: DataFrame, index, checkpoint: str):
-    """Starts a stream that hands each batch of new documents to index(batch, batch_id), once per checksum and batch; `index_arriving_files` keeps copies, as duplicates."""
-    return _in_batches(documents, lambda df, i: index(df.dropDuplicates(["checksum"]), i), checkpoint)
-
-
 CATALOGUE = (
     "id long, file_path string, file_name string, file_ext string, file_size long, checksum string, title string, document_type string, document_number string, issued_date date, "
     "issuing_agency string, signer string, summary string, keywords string, field string, status string"

@@ -203,3 +203,21 @@ def test_review_replay_gathers_no_log(spark):
 def test_json_metadata(spark):
     df = spark.createDataFrame([('{"summary": "s"}',), ("{bad",), ("[1]",), (None,)], "j string")
     assert [r[0].summary for r in df.select(C.parsed_metadata(F.col("j"))).collect()] == ["s", None, None, None]
+
+
+def test_decoding_in_one_projection(spark):
+    from folioframe.sources.files import decoded
+
+    rows = [("a.txt", "txt", "đồng é".encode()), ("b.txt", "txt", "café".encode("cp1252")), ("c.png", "png", b"\x89\xff"), ("d.txt", "txt", b""), ("e.txt", "txt", None), ("f.txt", "txt", "\ufeffx".encode())]
+    got = {x.file_name: tuple(x.read) for x in decoded(spark.createDataFrame(rows, "file_name string, file_ext string, content binary")).collect()}
+    assert got["a.txt"] == ("đồng é", "utf-8", "read", None) and got["d.txt"] == ("", "utf-8", "read", None) and got["f.txt"] == ("\ufeffx", "utf-8", "read", None)
+    assert got["b.txt"][0] == "café" and got["b.txt"][1] in ("cp1258", "cp1252") and got["b.txt"][2] == "read"
+    assert got["c.png"] == (None, None, "unsupported", None) and got["e.txt"] == (None, None, "failed", "no content")
+
+
+def test_upsert_of_repeated_keys(spark):
+    from folioframe.operators.catalog import upsert
+
+    old = spark.createDataFrame([(1, "a", 0)], "k long, v string, at int")
+    new = spark.createDataFrame([(1, "b", 2), (1, "c", 1), (2, "x", 1), (2, "y", 1)], "k long, v string, at int")
+    assert sorted(map(tuple, upsert(old, new, "k", "at").collect())) == [(1, "b", 2), (2, "y", 1)]

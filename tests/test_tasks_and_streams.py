@@ -117,17 +117,6 @@ def test_review_monitor_in_any_order(spark, tmp_path):
     assert {x[0]: x[1:3] for x in rows if x[3] is None}[0] == (want[0][0], want[0][1] + 2)
 
 
-def test_arrivals_are_indexed_once(spark, tmp_path):
-    from folioframe.streaming.live import index_arrivals
-
-    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id long, checksum string")
-    df.coalesce(1).write.parquet(f"{tmp_path}/docs")
-    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/docs")
-    for _ in range(2):
-        index_arrivals(stream, lambda batch, i: batch.write.mode("append").parquet(f"{tmp_path}/out"), f"{tmp_path}/ck").awaitTermination(120)
-    assert spark.read.parquet(f"{tmp_path}/out").count() == 2
-
-
 def test_entry_works_without_the_optional_part(spark, monkeypatch):
     import importlib
     import sys
