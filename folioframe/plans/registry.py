@@ -22,6 +22,11 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+def oracle(name: str) -> str:
+    """The SQL of a query that is registered already."""
+    return _SQL[name]
+
+
 def _loaded() -> None:
     from folioframe.plans import document_queries, list_queries, metadata_queries, relation_queries, search_queries, task_queries  # noqa: F401  they register themselves
 

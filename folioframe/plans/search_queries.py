@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from folioframe.operators import keyword_index as KI
 from folioframe.operators import structure as S
 from folioframe.operators import vector_index as I
 from folioframe.operators import vectors as V
 from folioframe.plans.document_queries import LINES, SECTIONS, WORDS, _vectors, catalogue, requests
-from folioframe.plans.registry import query
+from folioframe.plans.registry import oracle, query
 from folioframe.plans.task_queries import table
 from folioframe.sources.ingest import searched
 
@@ -50,3 +51,10 @@ def _(spark, d):
     """The same search by a few cells a query; its recall is measured in the tests."""
     v = _vectors(spark, d)
     return I.search(I.build(v, 5), v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "vector"), 5, probes=32)
+
+
+@query("b1_block_search", oracle("b1_catalogue_search"))
+def _(spark, d):
+    """b1_catalogue_search by blocks of rows, of which only those are read whose trigrams may hold the keyword."""
+    rows = catalogue(spark, d).withColumn("block", F.floor(F.col("id") / 50))
+    return KI.search(rows, KI.signatures(rows), "the", field="en", status="need_review").select("id", "title", "status")
