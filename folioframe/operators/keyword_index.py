@@ -27,7 +27,10 @@ def _bit(trigram: Column) -> Column:
 def signatures(documents: DataFrame, columns=SEARCHED, block: str = "block") -> DataFrame:
     """(block, word, bits): 64 bits of a block's signature a row, without rows of none. Only distinct bits of a row are shuffled, merged within each task first."""
     text = lambda c: F.translate(F.coalesce(F.col(c).cast("string"), F.lit("")), _UPPER, _LOWER)
-    grams = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.substring(t, i, F.lit(3)))
+    at = lambda cs, i: F.coalesce(F.get(cs, i), F.lit(""))
+    # Characters are taken apart once a text, and within a lambda, so that no step goes through the text again.
+    three = lambda cs: F.transform(F.sequence(F.lit(0), F.greatest(F.size(cs) - 3, F.lit(0))), lambda i: F.concat(at(cs, i), at(cs, i + 1), at(cs, i + 2)))
+    grams = lambda t: F.flatten(F.transform(F.array(F.split(t, "")), three))
     each = F.array_distinct(F.flatten(F.array(*(F.transform(F.filter(grams(text(c)), lambda g: F.length(g) == 3), _bit) for c in columns))))
     bits = documents.select(block, F.explode(each).alias("bit"))
     return bits.select(block, F.floor(F.col("bit") / 64).cast("int").alias("word"), F.expr("shiftleft(1L, bit % 64)").alias("b")).groupBy(block, "word").agg(F.bit_or("b").alias("bits"))
