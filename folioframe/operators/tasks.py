@@ -148,7 +148,7 @@ def rejected(tasks: DataFrame) -> DataFrame:
 
 
 def export_report(parts: dict[str, DataFrame], folder: str, form: str = "parquet") -> None:
-    """Each part to its own folder below one."""
+    """Each part to its own folder below one, in place of what is there. `sources.report` has parts that appear together."""
     for name, df in parts.items():
         df.write.mode("overwrite").format(form).option("header", "true").save(f"{folder}/{name}")
 

@@ -10,6 +10,7 @@ from folioframe.functions import text as X
 from folioframe.operators import catalog as C
 from folioframe.operators import drafting as D
 from folioframe.operators import knowledge as K
+from folioframe.operators import maintained as MA
 from folioframe.operators import metadata as M
 from folioframe.operators import structure as S
 from folioframe.operators import vectors as V
@@ -194,6 +195,37 @@ def _(spark, d):
     return C.tiles(catalogue(spark, d))
 
 
+_AFTER = f"""{CAT}, after AS (
+    SELECT CASE WHEN field = 'de' THEN status ELSE 'indexed' END AS status, 'txt' AS file_ext, document_type, field, issuing_agency
+    FROM cat WHERE issuing_agency <> 'src3'
+  )"""
+
+
+def _followed(spark: SparkSession, d: str, view: MA.View) -> DataFrame:
+    """The view's state after an upsert and a deletion of catalogue rows: the one before, and the change's part in it."""
+    c = catalogue(spark, d).select("file_path", *FILTERS)
+    old = c.where("field <> 'es'")
+    new = c.where("field <> 'de'").withColumn("status", F.lit("indexed"))
+    before, after = MA.change_rows(old, new, c.where("issuing_agency = 'src3'").select("file_path"), "file_path")
+    return MA.merged(view, MA.state(view, old), MA.part(view, before, after))
+
+
+@query("d3_maintained_counts", f"WITH {_AFTER} SELECT status, count(*) AS n FROM after GROUP BY 1")
+def _(spark, d):
+    return _followed(spark, d, MA.by_column("status"))
+
+
+@query("d4_maintained_values", f"WITH {_AFTER} " + " UNION ALL ".join(f"SELECT '{c}' AS name, {c} AS value, count(*) AS n FROM after GROUP BY ALL" for c in FILTERS))
+def _(spark, d):
+    return _followed(spark, d, MA.filter_values_view(FILTERS))
+
+
+@query("d10_maintained_tiles", f"""WITH {_AFTER} SELECT count(*) AS total, count(*) FILTER (status IN ('need_review', 'indexed')) AS indexed, count(*) FILTER (status = 'new') AS new,
+  count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'duplicate') AS duplicate FROM after""")
+def _(spark, d):
+    return MA.tiles_of(_followed(spark, d, MA.by_column("status")))
+
+
 WORDS = "regexp_extract_all(lower(text), '[0-9A-Za-zÀ-ỹ]+')"
 KEYS = f"""tok AS (SELECT doc_id, unnest({WORDS}) AS w, generate_subscripts({WORDS}, 1) AS pos FROM documents), cnt AS (SELECT doc_id, w, count(*) AS n, min(pos) AS f FROM tok WHERE length(w) >= 3 AND w NOT IN ('the', 'and', 'for') GROUP BY 1, 2),
   keys AS (SELECT doc_id, w AS keyword, least(n + 1, 10)::DOUBLE AS weight FROM cnt QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f) <= 20)"""

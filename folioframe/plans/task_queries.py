@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioframe.operators import maintained as M
 from folioframe.operators import tasks as T
 from folioframe.plans.registry import query
 
@@ -156,3 +159,65 @@ def _(spark, d):
 
     old = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
     return insert_or_ignore(old, table(spark, d, "supplier").select((F.col("s_suppkey") * 20).alias("id"), F.col("s_name").alias("name")), "id")
+
+
+# Statistics and KPI that follow a change: old tasks were pending all, newer rows overlay them, some are deleted.
+CHANGED = """changed AS (
+  SELECT id, assigned_to_id, deadline, point, CASE WHEN deadline < DATE '1995-01-01' THEN 'Chưa thực hiện' ELSE status END AS status,
+    CASE WHEN deadline < DATE '1995-01-01' THEN 0 ELSE progress END AS progress
+  FROM tasks WHERE NOT (field = '5-LOW' AND status = 'Hoàn thành')
+)"""
+
+
+def _followed(spark, d, *views: M.View) -> list[DataFrame]:
+    """Each view's state after the change: the one before, and the change's part in it."""
+    now = tasks(spark, d).select("id", "assigned_to_id", "deadline", "point", "status", "progress", "field")
+    old = now.where("deadline < DATE'1997-01-01'").withColumns({"status": F.lit(T.PENDING), "progress": F.lit(0)})
+    gone = now.where((F.col("field") == "5-LOW") & (F.col("status") == T.DONE)).select("id")
+    before, after = M.change_rows(old, now.where("deadline >= DATE'1995-01-01'"), gone, "id")
+    return [M.merged(v, M.state(v, old), M.part(v, before, after)) for v in views]
+
+
+@query("d1_maintained_statistics", f"""WITH {TASKS}, {CHANGED}
+  SELECT count(*) AS total, sum((status = 'Chưa thực hiện')::INT) AS pending, sum((status = 'Đang thực hiện')::INT) AS doing,
+    sum((status = 'Chờ duyệt')::INT) AS waiting, sum((status = 'Hoàn thành')::INT) AS done,
+    sum((deadline < DATE '{AS_OF}' AND status <> 'Hoàn thành')::INT) AS overdue,
+    sum((deadline BETWEEN DATE '{AS_OF}' AND DATE '{AS_OF}' + 3 AND status <> 'Hoàn thành')::INT) AS due_soon, round(avg(progress), 1) AS avg_progress
+  FROM changed""")
+def _(spark, d):
+    return M.statistics_of(_followed(spark, d, M.BY_DAY)[0], F.lit(AS_OF).cast("date"))
+
+
+@query("d2_maintained_kpi", f"""WITH {TASKS}, {CHANGED}
+  SELECT c_custkey AS id, c_name AS full_name, c_mktsegment AS field, count(t.id) AS total_tasks, count(*) FILTER (status = 'Hoàn thành') AS completed_tasks,
+    count(*) FILTER (deadline < DATE '{AS_OF}' AND status <> 'Hoàn thành') AS overdue_tasks,
+    round(coalesce(sum(CASE WHEN status = 'Hoàn thành' THEN point::DECIMAL(18, 6) END), 0)::DOUBLE, 2) AS completed_points,
+    round(coalesce(sum(point::DECIMAL(18, 6)), 0)::DOUBLE, 2) AS assigned_points, round(coalesce(avg(progress), 0), 1) AS avg_progress
+  FROM customer LEFT JOIN changed t ON assigned_to_id = c_custkey GROUP BY ALL""")
+def _(spark, d):
+    people, open_ = _followed(spark, d, M.BY_PERSON, M.OPEN_BY_PERSON)
+    return M.kpi_of(staff(spark, d), people, open_, F.lit(AS_OF).cast("date"))
+
+
+@query("a16_report_parts", f"""WITH {TASKS}
+  SELECT 'tasks' AS part, id, 0 AS no FROM tasks UNION ALL SELECT 'kpi', c_custkey, 0 FROM customer
+  UNION ALL SELECT 'timeline', update_id, 0 FROM updates WHERE task_id IN (SELECT id FROM tasks)
+  UNION ALL SELECT 'evidence', l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT id FROM tasks)
+  UNION ALL SELECT 'audit', event_id, 0 FROM events WHERE event_type = 'error'""")
+def _(spark, d):
+    """What each part of the report holds."""
+    from folioframe.sources import report
+
+    files = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("task_id"), F.col("l_linenumber").cast("int").alias("no"))
+    log = table(spark, d, "events").where("event_type = 'error'").select(F.col("event_id").alias("id"))
+    parts = report.parts(named(spark, d), staff(spark, d), updates(spark, d), files, log, F.lit(AS_OF).cast("date"))
+    key = {"timeline": "update_id", "evidence": "task_id"}
+    rows = [p.select(F.lit(n).alias("part"), F.col(key.get(n, "id")).alias("id"), (F.col("no") if n == "evidence" else F.lit(0)).alias("no")) for n, p in parts.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query("f25_done_updates", f"WITH {TASKS} SELECT update_id, coalesce(status = 'view' OR progress >= 100, FALSE) AS done FROM updates")
+def _(spark, d):
+    """Which updates say that their task is done; a view is taken as the word for it."""
+    said = F.when(F.col("status") == "view", T.DONE).otherwise(F.col("status"))
+    return updates(spark, d).select("update_id", T.is_done(said, F.col("progress")).alias("done"))

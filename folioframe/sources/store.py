@@ -6,11 +6,13 @@ file that names each table's folder for each bucket, put in place by a rename th
 that version exists. Readers see the last manifest's tables, or those of an earlier one: what
 a killed writer has left is named by none. A commit may carry the number of a stream's batch;
 a batch that has been committed is not committed again.
+
+A store may keep views, sums over groups of a table's rows: a change of the table brings its
+views up to date from the rows of the buckets that it touches, in the same commit.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Mapping
 from typing import NamedTuple
@@ -19,6 +21,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from folioframe.keeping import kept
+from folioframe.operators.maintained import View, merged, part, state
+from folioframe.sources.manifests import Conflict, Manifests  # noqa: F401  callers catch Conflict
+
 
 class Table(NamedTuple):
     """Rows by key (or, for children, by their parent's key); schema as DDL."""
@@ -28,23 +34,19 @@ class Table(NamedTuple):
     buckets: int = 64
 
 
-class Conflict(RuntimeError):
-    """Another writer has committed since this one began."""
-
-
 class Store:
-    def __init__(self, spark: SparkSession, folder: str, tables: Mapping[str, Table]):
-        self.spark, self.folder, self.tables = spark, folder.rstrip("/"), dict(tables)
-        self._hadoop = spark._jvm.org.apache.hadoop.fs
-        self._files = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _path(self, name: str):
-        return self._hadoop.Path(f"{self.folder}/{name}" if name else self.folder)
+    def __init__(self, spark: SparkSession, folder: str, tables: Mapping[str, Table], views: Mapping[str, tuple[str, View]] | None = None):
+        """views: by name, the table that each is of. They are read as tables are."""
+        self.spark, self.folder, self.tables, self.views = spark, folder.rstrip("/"), dict(tables), dict(views or {})
+        for name, (of, view) in self.views.items():
+            empty = state(view, spark.createDataFrame([], StructType.fromDDL(self.tables[of].schema)))
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in empty.schema)
+            self.tables[name] = Table("group_key", f"group_key string, {columns}", self.tables[of].buckets)
+        self._held = Manifests(spark, folder)
+        self._files, self._path = self._held.files, self._held.path
 
     def versions(self) -> list[int]:
-        place = self._path("manifests")
-        names = [x.getPath().getName() for x in self._files.listStatus(place)] if self._files.exists(place) else []
-        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+        return self._held.versions()
 
     def manifest(self, version: int | None = None) -> dict:
         """{version, tables: {name: {bucket: folder}}, batches: {stream: number}}; version 0 is empty."""
@@ -52,11 +54,7 @@ class Store:
             version = max(self.versions(), default=0)
         if version == 0:
             return {"version": 0, "tables": {}, "batches": {}}
-        source = self._files.open(self._path(f"manifests/{version}.json"))
-        try:
-            return json.loads(bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(source)).decode())
-        finally:
-            source.close()
+        return self._held.read(version)
 
     def read(self, name: str, version: int | None = None, buckets: list[int] | None = None) -> DataFrame:
         """A table as of a version, or some buckets of it."""
@@ -78,7 +76,7 @@ class Store:
         named = {f for v in kept for t in self.manifest(v)["tables"].values() for f in t.values()}
         gone = 0
         for v in set(self.versions()) - set(kept):
-            self._files.delete(self._path(f"manifests/{v}.json"), False)
+            self._held.delete(v)
         data = self._path("data")
         for change in self._files.listStatus(data) if self._files.exists(data) else []:
             for table in self._files.listStatus(change.getPath()):
@@ -112,6 +110,33 @@ class Change:
         spread.write.partitionBy("__b").parquet(f"{self.store.folder}/{self.place}/{name}")
         there = {x.getPath().getName() for x in self.store._files.listStatus(self.store._path(f"{self.place}/{name}"))}
         self.touched[name] = {str(b): f"{self.place}/{name}/__b={b}" if f"__b={b}" in there else None for b in found}
+        for view_name, (of, view) in self.store.views.items():
+            if of == name:
+                self._follow(view_name, view, name, found)
+
+    def _now(self, name: str, buckets: list[int] | None = None) -> DataFrame:
+        """A table's rows as this change leaves them."""
+        held = {**self.base["tables"].get(name, {}), **self.touched.get(name, {})}
+        folders = [f"{self.store.folder}/{f}" for b, f in sorted(held.items()) if f and (buckets is None or int(b) in buckets)]
+        schema = StructType.fromDDL(self.store.tables[name].schema)
+        return self.store.spark.read.schema(schema).parquet(*folders) if folders else self.store.spark.createDataFrame([], schema)
+
+    def _follow(self, name: str, view: View, of: str, buckets: list[int]) -> None:
+        keyed = lambda df: df.withColumn("group_key", F.to_json(F.struct(*view.groups)))
+        if name in self.base["tables"]:
+            made = keyed(part(view, self.store.read(of, self.base["version"], buckets), self._now(of, buckets)))
+        else:  # the view is newer than the table
+            made = keyed(state(view, self._now(of)))
+        made = kept(made)
+        self._rewritten(name, made, lambda old: keyed(merged(view, old, made)))
+
+    def recount(self, name: str) -> Change:
+        """Makes a view's state anew from its whole table."""
+        of, view = self.store.views[name]
+        whole = kept(state(view, self._now(of)).withColumn("group_key", F.to_json(F.struct(*view.groups))))
+        keys = whole.select("group_key").unionByName(self.store.read(name, self.base["version"]).select("group_key"))
+        self._rewritten(name, keys, lambda old: whole)
+        return self
 
     def upsert(self, name: str, new: DataFrame, order: str | None = None) -> Change:
         """Overlays rows by key; nulls of new never overwrite. Of rows of one key the last by `order` counts; without one, keys must differ."""
@@ -147,11 +172,4 @@ class Change:
                 if folder:
                     held[b] = folder
         batches = {**self.base["batches"], **({stream: batch} if stream else {})}
-        temporary, final = store._path(f"manifests/.{uuid.uuid4().hex}"), store._path(f"manifests/{number}.json")
-        out = store._files.create(temporary, False)
-        out.write(bytearray(json.dumps({"version": number, "tables": tables, "batches": batches}).encode()))
-        out.close()
-        if store._files.exists(final) or not store._files.rename(temporary, final):
-            store._files.delete(temporary, False)
-            raise Conflict(f"version {number} is there already")
-        return number
+        return store._held.commit(number, {"version": number, "tables": tables, "batches": batches})
