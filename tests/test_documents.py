@@ -221,3 +221,22 @@ def test_upsert_of_repeated_keys(spark):
     old = spark.createDataFrame([(1, "a", 0)], "k long, v string, at int")
     new = spark.createDataFrame([(1, "b", 2), (1, "c", 1), (2, "x", 1), (2, "y", 1)], "k long, v string, at int")
     assert sorted(map(tuple, upsert(old, new, "k", "at").collect())) == [(1, "b", 2), (2, "y", 1)]
+
+
+def test_a_scan_is_planned_by_sizes_and_reads_no_content_unasked(spark, tmp_path):
+    """Spark's own file source cuts a folder into tasks by size, and the listing of a folder opens no file."""
+    from folioframe.sources import files as S
+
+    for i in range(12):
+        (tmp_path / f"{i}.txt").write_text("x" * 1000)
+    names = {"spark.sql.files.maxPartitionBytes": "3000", "spark.sql.files.openCostInBytes": "1", "spark.sql.sources.binaryFile.maxLength": "10"}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    try:
+        listed = S.scan_folder(spark, str(tmp_path)).select("path", "length", "scan_class")
+        assert listed.rdd.getNumPartitions() >= 4 and {(x.length, x.scan_class) for x in listed.collect()} == {(1000, "accepted")}
+        with pytest.raises(Exception, match="(?i)length"):  # contents, were they read, would be too long
+            S.with_checksum(S.scan_folder(spark, str(tmp_path))).select("checksum").collect()
+    finally:
+        for name in names:
+            spark.conf.unset(name)
