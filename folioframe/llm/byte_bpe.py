@@ -14,7 +14,8 @@ each Python worker; a memo that is full starts anew and changes no result.
 Defined results: a null text is an empty one and has no ids; any length of text is encoded
 whole; equal rows give equal rows; an empty table gives none; other columns pass through
 untouched, but for one of the name of the column that is added (`ids`, `decoded`, or as the
-caller names them), which is replaced.
+caller names them), which is replaced. A rank file that lacks one of the 256 bytes, or gives two
+tokens one rank, is refused with a ValueError: some texts would have no ids, or no way back.
 """
 
 from __future__ import annotations
@@ -48,6 +49,9 @@ class Vocabulary:
             pairs = [line.split() for line in f if line.strip()]
         self.rank = {base64.b64decode(a): int(b) for a, b in pairs}
         self.token = {b: a for a, b in self.rank.items()}
+        lacking = [i for i in range(256) if bytes([i]) not in self.rank]
+        if lacking or len(self.token) < len(self.rank):
+            raise ValueError(f"{path}: " + (f"no token for the bytes {lacking}" if lacking else "several tokens of one rank"))
         self.match = regex.compile(pattern).findall
         # The last merge that makes each token: its two parts.
         self.parts, self.joined = {}, {}

@@ -936,3 +936,19 @@ def test_quality_list_by_brute_force(spark):
     kept = {x.doc_id: x.kept for x in labelled.select("doc_id", Q.verdict(found).alias("kept")).collect()}
     assert kept == {x["doc_id"]: not any(holds(rule, x) for rule in want) for x in table}
 
+
+def test_rank_files_that_are_refused(tmp_path):
+    from base64 import b64encode
+
+    from folioframe.llm.byte_bpe import Vocabulary
+
+    def written(pairs):
+        (tmp_path / "ranks").write_bytes(b"".join(b64encode(t) + b" %d\n" % r for t, r in pairs))
+        return str(tmp_path / "ranks")
+
+    every = [(bytes([i]), i) for i in range(256)]
+    assert Vocabulary(written([*every, (b"ab", 256)]), PATTERN).rank[b"ab"] == 256
+    with pytest.raises(ValueError, match=r"bytes \[97\]"):
+        Vocabulary(written([p for p in every if p[0] != b"a"]), PATTERN)
+    with pytest.raises(ValueError, match="one rank"):
+        Vocabulary(written([*every, (b"ab", 256), (b"cd", 256)]), PATTERN)
