@@ -80,3 +80,18 @@ def test_saved_index(spark, tmp_path):
     rows, queries, vectors, asked = clustered(spark, 200, seed=5)
     I.save(I.build(vectors), str(tmp_path))
     same(found(I.search(I.load(spark, str(tmp_path)), asked, 3)), brute(rows, queries, 3))
+
+
+def test_second_round_sends_a_query_once_to_each_pack(spark, monkeypatch):
+    """Noise has no clusters: nearly every cell is looked into, but a query's vector isn't sent to each of them."""
+    r = np.random.default_rng(3)
+    rows = [(i, [float(v) for v in np.round(row / np.linalg.norm(row), 6)]) for i, row in enumerate(r.normal(size=(500, 12)))]
+    frame = lambda rows, key: spark.createDataFrame(rows, f"{key} long, vector array<double>").repartition(3)
+    index, asked = I.build(frame(rows, "vec_id"), 5), frame(rows[::25], "query_id")
+    looks = I.search(index, asked, 5, looked_at=(looked := []))
+    same(found(looks), brute(rows, rows[::25], 5))
+    assert looked[1] > 200 and I._cells(index)[12][4].max() == 0  # all cells in one pack
+    monkeypatch.setattr(I, "PACK", 60)
+    monkeypatch.setattr(I, "GROUP", 7)
+    index = I.build(frame(rows, "vec_id"), 5, cells=12)  # packs of several cells, and a large cell in packs of its own
+    same(found(I.search(index, asked, 5)), brute(rows, rows[::25], 5))
