@@ -95,3 +95,21 @@ def test_second_round_sends_a_query_once_to_each_pack(spark, monkeypatch):
     monkeypatch.setattr(I, "GROUP", 7)
     index = I.build(frame(rows, "vec_id"), 5, cells=12)  # packs of several cells, and a large cell in packs of its own
     same(found(I.search(index, asked, 5)), brute(rows, rows[::25], 5))
+
+
+def test_vectors_are_shuffled_for_products_only(spark, monkeypatch):
+    """Numbers of groups are sent to the vectors: what is shuffled of them goes straight into a product; cells in slices, a bounded sample by its hashes first."""
+    r = np.random.default_rng(4)
+    rows = [(i, [float(v) for v in np.round(row / np.linalg.norm(row), 6)]) for i, row in enumerate(r.normal(size=(400, 12)))]
+    frame = lambda rows, key: spark.createDataFrame(rows, f"{key} long, vector array<double>").repartition(3)
+    for name, size in (("SLICE", 7), ("SAMPLE", 40), ("PACK", 150)):
+        monkeypatch.setattr(I, name, size)
+    monkeypatch.setattr(I, "GROUP", 64)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = I.search(I.build(frame(rows, "vec_id"), 5), frame(rows[::20], "query_id"), 5)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin [pack" not in plan and "BroadcastHashJoin [pack" in plan
+    same(found(out), brute(rows, rows[::20], 5))
